@@ -1,0 +1,30 @@
+"""All queries over the archive engine's own operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from coldlake.plans.catalogue import ORACLES, QUERIES, query
+from coldlake.plans.tables import table
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+@query(
+    "filtered_join_agg",
+    """SELECT o_orderpriority, COUNT(*) AS n,
+              CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+       WHERE l_returnflag IN ('A', 'R') GROUP BY o_orderpriority""",
+)
+def filtered_join_agg(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
+    orders = table(spark, sf_dir, "orders")
+    return (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("o_orderpriority")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("revenue"),
+        )
+    )
