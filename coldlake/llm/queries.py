@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import exact, urls
+from coldlake.llm import bpe, exact, urls
 from coldlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,11 @@ FROM t JOIN g USING (norm)""",
 )
 def op9_exact_dedup(spark, sf_dir):
     return exact.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_byte_bpe")
+def op2_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
