@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import bpe, exact, urls
+from coldlake.llm import bpe, exact, labelled, line_crf, quality_knn, toxicity, urls
 from coldlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,25 @@ def op2_byte_bpe(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "severity", "grade", "p_toxic", "rejected")
+
+
+@_query("op6_quality_neighbours")
+def op6_quality_neighbours(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality_knn.score_quality(docs, model)
+    return scored.select("doc_id", labelled.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@_query("op8_quality_rules")
+def op8_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.fit_lines(docs, table(spark, sf_dir, "labels"))
+    return line_crf.apply_rules(docs, model).drop("text", "content_lines")
