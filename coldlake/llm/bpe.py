@@ -61,13 +61,24 @@ def _merger(ranks: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_parsed(ranks), special_tokens={})
 
 
+def _pack(data: bytes) -> bytes:
+    """Length and zstd frame, for shuffles that would compress less well."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _planes(values: np.ndarray) -> bytes:
-    """int32 values by byte plane, which compresses better."""
-    return np.ascontiguousarray(values.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Packed int32 values by byte plane, which compresses better."""
+    planes = np.ascontiguousarray(values.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return _pack(planes.tobytes())
 
 
 def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+    planes = np.frombuffer(_unpack(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -113,7 +124,9 @@ def _make_blocks(text_name: str, pattern: str, slices: int, block_chars: int):
                 if entries:
                     numbers = np.array([c for c, _ in entries], np.int32)
                     sizes = np.array([len(w) for _, w in entries], np.int32)
-                    out.append((block, k, None, _planes(sizes), _planes(numbers), b"".join(w for _, w in entries)))
+                    steps = np.diff(numbers, prepend=np.int32(0))  # numbers rise, so their steps are small
+                    words = _pack(b"".join(w for _, w in entries))
+                    out.append((block, k, None, _planes(sizes), _planes(steps), words))
             names = ["block", "slice", "rows", "lengths", "codes", "words"]
             types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
             for begin in range(0, len(out), 64):
@@ -153,7 +166,7 @@ def _merge_words(ranks, pattern: str):
                 if (k := k.as_py()) != current:
                     current, known = k, {}
                 ends = np.cumsum(_unplanes(sizes.as_py())).tolist()
-                raw, begin, ids, counts = words.as_py(), 0, [], []
+                raw, begin, ids, counts = _unpack(words.as_py()), 0, [], []
                 for end in ends:
                     word = raw[begin:end]
                     begin = end
@@ -179,7 +192,7 @@ def _assemble(ids_name: str):
             for b in range(len(batch)):
                 rows, lengths, codes, parts = (batch.column(c)[b] for c in ("rows", "lengths", "codes", "parts"))
                 lengths, codes, parts = _unplanes(lengths.as_py()), _unplanes(codes.as_py()), parts.as_py() or []
-                numbers = [_unplanes(p["numbers"]) for p in parts]
+                numbers = [np.cumsum(_unplanes(p["numbers"])) for p in parts]
                 flat = [_unplanes(p["ids"]) for p in parts]
                 size = [_unplanes(p["counts"]) for p in parts]
                 n = sum(map(len, numbers))
