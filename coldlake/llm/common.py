@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,36 +56,40 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def map_groups(
     df: DataFrame,
     keys: list[str],
-    function: Callable[[tuple, pd.DataFrame], Iterator[pd.DataFrame] | None],
+    function: Callable[[tuple, dict[str, np.ndarray]], Iterator[pd.DataFrame]],
     schema: str,
-    partitions: int | None = None,
 ) -> DataFrame:
-    """Call ``function(key, rows)`` for each group of bounded size, many groups to a Python call.
+    """Call ``function(key, columns)`` for each group of bounded size, many groups to a Python call.
 
     Rows are dealt by key and sorted within partitions, so a task streams through its groups and
     holds one at a time; unlike a grouped map there is no Arrow round trip for each small group.
+    ``columns`` maps names to arrays. Keys must not be null.
     """
-    spread = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[dict[str, np.ndarray]] = []
         current: tuple | None = None
+
+        def whole() -> dict[str, np.ndarray]:
+            return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in names}
+
         for batch in batches:
             if batch.empty:
                 continue
-            columns = [batch[k].to_numpy() for k in keys]
-            change = columns[0][1:] != columns[0][:-1]
-            for values in columns[1:]:
-                change = change | (values[1:] != values[:-1])
-            starts = [0, *(change.nonzero()[0] + 1).tolist(), len(batch)]
+            columns = {c: batch[c].to_numpy() for c in names}
+            change = np.zeros(len(batch) - 1, bool)
+            for k in keys:
+                change |= columns[k][1:] != columns[k][:-1]
+            starts = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
             for begin, end in zip(starts[:-1], starts[1:]):
-                key = tuple(values[begin] for values in columns)
+                key = tuple(columns[k][begin] for k in keys)
                 if current is not None and key != current:
-                    yield from function(current, pd.concat(held, ignore_index=True)) or ()
+                    yield from function(current, whole())
                     held = []
                 current = key
-                held.append(batch.iloc[begin:end])
+                held.append({c: v[begin:end] for c, v in columns.items()})
         if current is not None:
-            yield from function(current, pd.concat(held, ignore_index=True)) or ()
+            yield from function(current, whole())
 
-    return spread.sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

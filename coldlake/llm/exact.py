@@ -40,8 +40,9 @@ def repeated_filter(
     rows: int,
     bits_per_row: int = 24,
     max_filter_bytes: int = BROADCAST_LIMIT_BYTES,
+    least: int = 2,
 ) -> tuple[DataFrame, int] | None:
-    """Bloom filter of the values of long column ``h`` that may occur twice, and its block count.
+    """Bloom filter of the values of long column ``h`` that may occur ``least`` times, and its block count.
 
     None if ``rows`` is too large for a filter of ``max_filter_bytes`` to tell values apart.
     """
@@ -52,7 +53,7 @@ def repeated_filter(
     asked = hashes.select(
         F.pmod("h", F.lit(blocks)).alias("block"), F.explode(F.array(*_bits(F.col("h")))).alias("bit")
     )
-    twice = asked.groupBy("block", "bit").count().where("count >= 2")
+    twice = asked.groupBy("block", "bit").count().where(F.col("count") >= least)
     built = twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     return materialise(built, "bloom"), blocks
 

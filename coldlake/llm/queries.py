@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import bpe, exact, labelled, line_crf, quality_knn, toxicity, urls
+from coldlake.llm import bpe, exact, labelled, line_crf, minhash, quality_knn, substring, toxicity, urls
 from coldlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,15 @@ def op8_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = line_crf.fit_lines(docs, table(spark, sf_dir, "labels"))
     return line_crf.apply_rules(docs, model).drop("text", "content_lines")
+
+
+@_query("op10_minhash_dedup")
+def op10_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicate_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+@_query("op4_substring_dedup")
+def op4_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substring.remove_repeats(docs)
+    return done.select("doc_id", "n_units", "removed", "removed_words", F.col("kept_text").alias("text"))

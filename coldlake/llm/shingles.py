@@ -58,5 +58,10 @@ def shingle_hashes(text: str | None, hasher: WordHasher, size: int) -> np.ndarra
     with np.errstate(over="ignore"):
         total = np.full(n, span, np.uint64)
         for k in range(span):
-            total = mix(total + codes[k : k + n]) * _MULT
-    return np.unique(total)
+            total *= _MULT
+            total += codes[k : k + n]
+    total = mix(total)
+    total.sort()
+    keep = np.ones(n, bool)
+    np.not_equal(total[1:], total[:-1], out=keep[1:])
+    return total[keep]
