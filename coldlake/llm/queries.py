@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import bpe, exact, labelled, line_crf, minhash, quality_knn, substring, toxicity, urls
+from coldlake.llm import bpe, exact, labelled, line_crf, minhash, mixing, quality_knn, substring, toxicity, urls
 from coldlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op4_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = substring.remove_repeats(docs)
     return done.select("doc_id", "n_units", "removed", "removed_words", F.col("kept_text").alias("text"))
+
+
+@_query("op5_mixing")
+def op5_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
