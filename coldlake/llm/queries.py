@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import bpe, exact, labelled, line_crf, minhash, mixing, quality_knn, substring, toxicity, urls
+from coldlake.llm import bpe, exact, html_extract, labelled, line_crf, minhash, mixing, quality_knn, substring, toxicity, urls
 from coldlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ def op4_substring_dedup(spark, sf_dir):
 def op5_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op7_html_extract")
+def op7_html_extract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_pages(pages).select("page_id", "url", "text", "n_chars")
