@@ -9,7 +9,8 @@ equal hash ranges into 2^k blocks. A source is taken whole as often as its targe
 the rest up to a threshold in that order: blocks below it whole, the block that it cuts in part. The
 threshold is found by descending the hash digit by digit with one small aggregation each, so that the
 taken words stay less than a document below the target; then up to ``FILL_ROUNDS`` further documents
-of the source, each the one whose size is nearest to the gap, close it.
+of the source, each the one whose size is nearest to the gap, close it. In sources of at most
+``SMALL_SOURCE`` documents one document may then be exchanged for another to come nearer still.
 
 Splitting tree. The exact numbers of block copies of all sources are partitioned among the output
 shards: a node's counts are drawn for its left half by a multivariate hypergeometric distribution and
@@ -37,6 +38,8 @@ DIGITS = 7  # of the 63-bit hash that are descended; ties beyond are taken toget
 FILL_ROUNDS = 3
 DOCS_PER_BLOCK = 64
 MAX_SOURCES = 1_000_000
+#: Most documents of a source whose gap is closed by an exchange as well.
+SMALL_SOURCE = 2000
 HASH_BITS = 56
 
 
@@ -196,6 +199,40 @@ def _thresholds(table: DataFrame, plan: pd.DataFrame) -> None:
             fill[r["number"]].append(r["best"]["u"])
             plan.loc[r["number"], "gap"] -= r["best"]["words"]
     plan["fill"] = fill
+    plan["drop"] = [[] for _ in range(len(plan))]
+    _swap(work, plan)
+
+
+def _swap(work: DataFrame, plan: pd.DataFrame) -> None:
+    """In sources of few documents, add, drop or exchange one document where that brings the taken
+    words nearer to the target; a group here has at most SMALL_SOURCE rows."""
+    todo = plan[(plan["gap"].abs() >= 1) & (plan["docs"] <= SMALL_SOURCE)]
+    if not len(todo):
+        return
+    fills = {int(k): set(f) for k, f in todo["fill"].items()}
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        number, gap = int(rows["number"].iloc[0]), float(rows["gap"].iloc[0])
+        rows = rows.groupby("u", as_index=False).agg({"size": "sum", "threshold": "first"})
+        taken = (rows["u"] < rows["threshold"]) | rows["u"].isin(fills.get(number, ()))
+        into = np.concatenate([[0], rows["size"][~taken].to_numpy()])
+        out = np.concatenate([[0], rows["size"][taken].to_numpy()])
+        miss = np.abs(gap - (into[:, None] - out[None, :]))
+        a, b = np.unravel_index(int(np.argmin(miss)), miss.shape)
+        add = int(rows["u"][~taken].iloc[a - 1]) if a else -1
+        drop = int(rows["u"][taken].iloc[b - 1]) if b else -1
+        return pd.DataFrame({"number": [number], "add": [add], "drop": [drop]})
+
+    rows = _frame(work, todo, ["threshold", "gap"]).select("number", "u", "size", "threshold", "gap")
+    for r in rows.groupBy("number").applyInPandas(best, "number int, add long, drop long").collect():
+        if r["add"] >= 0:
+            plan.at[r["number"], "fill"] = plan.at[r["number"], "fill"] + [r["add"]]
+        if r["drop"] >= 0:
+            fill = plan.at[r["number"], "fill"]
+            if r["drop"] in fill:
+                plan.at[r["number"], "fill"] = [u for u in fill if u != r["drop"]]
+            else:
+                plan.at[r["number"], "drop"] = [r["drop"]]
 
 
 def mix_sources(
@@ -237,18 +274,20 @@ def mix_sources(
     counts = splitting_tree(quotas, shards, seed) if len(plan) else np.zeros((shards, 0), np.int64)
     ends = np.cumsum(counts, axis=0).T  # of each source: block copies up to each shard
     side = [
-        (s, int(z), float(t), int(w), int(h), [int(x) for x in f], int(k), int(b), [int(x) for x in e])
-        for s, z, t, w, h, f, k, b, e in zip(
-            plan["source"], plan["size"], plan["target"], plan["whole"], plan["threshold"], plan["fill"], plan["k"], blocks, ends
-        )
+        (s, int(z), float(t), int(w), int(h), [int(x) for x in f], [int(x) for x in d], int(k), int(b), [int(x) for x in e])
+        for s, z, t, w, h, f, d, k, b, e in zip(
+            plan["source"], plan["size"], plan["target"], plan["whole"], plan["threshold"], plan["fill"], plan["drop"],
+            plan["k"], blocks, ends,
+        )
     ]
     schema = (
-        "name string, source_size long, target double, whole int, threshold long, fill array<long>, k int, blocks long, "
+        "name string, source_size long, target double, whole int, threshold long, fill array<long>, gone array<long>, "
+        "k int, blocks long, "
         "ends array<long>"
     )
     plan_rows = docs.sparkSession.createDataFrame(side, schema)
     joined = whole.join(F.broadcast(plan_rows), F.col("source").eqNullSafe(F.col("name")))
-    below = F.col("u") < F.col("threshold")
+    below = (F.col("u") < F.col("threshold")) & ~F.array_contains("gone", F.col("u"))
     filled = ~below & F.array_contains("fill", F.col("u"))
     times = F.col("whole") + (below | filled).cast("int")
     block = F.expr(f"shiftrightunsigned(u, {HASH_BITS} - k)")
