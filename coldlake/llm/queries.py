@@ -121,3 +121,10 @@ def op5_mixing(spark, sf_dir):
 def op7_html_extract(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract_pages(pages).select("page_id", "url", "text", "n_chars")
+
+
+@_query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
