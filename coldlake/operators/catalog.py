@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,7 +120,8 @@ class Catalog:
         self, path: str, name: str | None = None, version: str | None = None, tags: list[str] | None = None
     ) -> str:
         """Add an archive by its manifest; a path that is known keeps its id and is not added again."""
-        dataset_id = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
+        path = re.sub(r"^file:/+", "/", path.rstrip("/"))
+        dataset_id = hashlib.sha256(path.encode()).hexdigest()[:16]
         if self.files.exists(self._entry_path(dataset_id)):
             return dataset_id
         m = read_manifest(self.spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +50,6 @@ def _exempt(name: str) -> bool:
 
 def to_float16(col: Column) -> Column:
     """Nearest IEEE half-precision value, as double; large values become infinite."""
-    import numpy as np
-    import pandas as pd
 
     def half(values: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):
