@@ -460,3 +460,36 @@ def test_stream_into_archive(spark, tmp_path):
         q.awaitTermination(60)
         assert q.exception() is None and ar.read_archive(spark, str(tmp_path / "arc")).count() == expected
         spark.range(15).write.mode("append").parquet(str(source))
+
+
+def test_format(spark, tmp_path):
+    from coldlake.sources.datasource import register_format
+
+    path = str(tmp_path / "arc")
+    df = spark.createDataFrame([(k, f"s{k}", k / 3) for k in range(100)], "a int, s string, x double")
+    ar.write_archive(df, path, partition_by="a", chunk_rows=10)
+    register_format(spark)
+    got = spark.read.format("coldlake").load(path)
+    same(got, df)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert [r["s"] for r in spark.read.format("coldlake").option("pruning", "true").load(path).where("a = 42").collect()] == ["s42"]
+        assert spark.read.format("coldlake").option("pruning", "true").load(path).where("a >= 90 AND a <= 95").count() == 6
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from coldlake.cli import main, parse_filters
+
+    assert parse_filters(["a=1", "b=1..5", "c=x,y", "d=..3"]) == {"a": 1, "b": (1, 5), "c": ["x", "y"], "d": (None, 3)}
+    spark.range(30).write.parquet(str(tmp_path / "in.parquet"))
+    arc = str(tmp_path / "arc")
+    assert main(["freeze", str(tmp_path / "in.parquet"), arc, "--partition-by", "id"]) == 0
+    assert main(["unfreeze", arc, str(tmp_path / "out.parquet"), "--filter", "id=3..7", "--rows", "0..20"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out.parquet")).count() == 5
+    assert main(["audit", arc]) == 0 and main(["verify", arc]) == 0
+    assert main(["query", f"SELECT COUNT(*) AS n FROM '{arc}'"]) == 0
+    assert main(["catalog", str(tmp_path / "cat"), "register", arc]) == 0
+    assert main(["catalog", str(tmp_path / "cat"), "search"]) == 0 and main(["catalog", str(tmp_path / "cat"), "verify"]) == 0
+    assert "arc" in capsys.readouterr().out
