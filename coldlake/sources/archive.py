@@ -259,8 +259,13 @@ def _read_rows(
     return out
 
 
-def append_archive(df: DataFrame, path: str, verify: bool = True, sha256: bool = True) -> dict[str, Any]:
-    """Add rows to an archive; all or nothing. Column names and types must be the archive's."""
+def append_archive(
+    df: DataFrame, path: str, verify: bool = True, sha256: bool = True, comment: str | None = None
+) -> dict[str, Any]:
+    """Add rows to an archive; all or nothing. Column names must be the archive's; types are cast to its.
+
+    ``comment`` replaces the archive's comment with the same manifest swap.
+    """
     spark = df.sparkSession
     began = dt.datetime.now()
     manifest = read_manifest(spark, path)
@@ -290,6 +295,7 @@ def append_archive(df: DataFrame, path: str, verify: bool = True, sha256: bool =
     manifest.files += new
     manifest.generation = generation
     manifest.orig_bytes = None
+    manifest.comment = manifest.comment if comment is None else comment
     files.write_text(manifest_path(path), manifest.to_json())
     return {
         "appended_rows": sum(f.rows for f in new),
@@ -405,10 +411,14 @@ def row_numbers(spark: SparkSession, path: str, name: str = "row_number") -> Dat
 
 
 def vacuum(spark: SparkSession, path: str) -> list[str]:
-    """Delete generation folders that the manifest does not name; not while a write is running."""
+    """Delete generation folders that the manifest does not name, and locks that crashed appends left.
+
+    Not while a write is running.
+    """
     files, m = Files(spark), read_manifest(spark, path)
     used = {f.name.split("/")[1] for f in m.files}
     gone = [f for f in files.list(f"{path.rstrip('/')}/data") if f.is_dir and f.name not in used]
-    for f in gone:
+    locks = [f for f in files.list(path) if f.name.startswith(".generation-")]
+    for f in [*gone, *locks]:
         files.delete(f.path)
     return [f.name for f in gone]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -53,6 +54,7 @@ class Files:
 
     def __init__(self, spark: SparkSession):
         self._jvm = spark.sparkContext._jvm
+        self._gateway = spark.sparkContext._gateway
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
@@ -72,7 +74,10 @@ class Files:
             stream.close()
 
     def write_text(self, path: str, text: str) -> None:
-        """Write to a temporary name, then rename: a reader sees the old or the new content."""
+        """Write to a temporary name, then rename over the old file: a reader sees the old or the new content.
+
+        Stores without an atomic rename get a delete and a rename.
+        """
         store, place = self._at(path)
         temporary = self._jvm.org.apache.hadoop.fs.Path(f"{hadoop_path(path)}.{uuid.uuid4().hex}.tmp")
         stream = store.create(temporary, True)
@@ -80,10 +85,16 @@ class Files:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        if store.exists(place):
-            store.delete(place, False)
-        if not store.rename(temporary, place):
-            raise OSError(f"cannot rename to {path}")
+        try:
+            options = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), self._conf)
+            context.rename(temporary, place, options)
+        except Py4JJavaError:
+            if store.exists(place):
+                store.delete(place, False)
+            if not store.rename(temporary, place):
+                raise OSError(f"cannot rename to {path}") from None
 
     def create_new(self, path: str, text: str) -> bool:
         """Write a file that must not exist yet; False if another writer was first."""

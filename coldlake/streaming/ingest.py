@@ -11,8 +11,8 @@ from coldlake.sources.archive import append_archive, read_manifest, write_archiv
 def stream_to_archive(stream: DataFrame, path: str, checkpoint: str, **options):
     """Append each micro-batch of a stream to an archive; returns the started query.
 
-    The batch number is kept in the archive's comment, so a batch that is replayed after a failure is
-    not appended twice.
+    The batch number is kept in the archive's comment and changes with the same manifest swap as the
+    batch's rows, so a batch that is replayed after a failure is not appended twice.
     """
     spark = stream.sparkSession
 
@@ -25,21 +25,11 @@ def stream_to_archive(stream: DataFrame, path: str, checkpoint: str, **options):
         done = int(manifest.comment.rpartition(" ")[2]) if manifest.comment.startswith("batch ") else -1
         if number <= done or batch.isEmpty():
             return
-        append_archive(batch, path, verify=False)
-        _note(spark, path, f"batch {number}")
+        append_archive(batch, path, verify=False, comment=f"batch {number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _note(spark, path: str, comment: str) -> None:
-    from coldlake.sources.archive import manifest_path
-    from coldlake.sources.files import Files
-
-    manifest = read_manifest(spark, path)
-    manifest.comment = comment
-    Files(spark).write_text(manifest_path(path), manifest.to_json())
-
-
 def tumbling(df: DataFrame, time: str, width: str, keys: list[str] = (), late: str | None = None):
     """Rows grouped by window of event time and keys; ``late`` bounds the state of streams."""
     rows = df.withWatermark(time, late) if late else df

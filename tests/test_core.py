@@ -142,7 +142,8 @@ def test_append_is_atomic_and_checked(spark, path):
     with pytest.raises(ar.AppendConflict):
         ar.append_archive(new, path)
     assert ar.read_archive(spark, path).count() == 3
-    assert len(ar.vacuum(spark, path)) == 1 and ar.read_archive(spark, path, verify=True).count() == 3
+    assert len(ar.vacuum(spark, path)) == 1 and ar.append_archive(new, path, comment="noted")["total_rows"] == 4
+    assert ar.audit(spark, path)["comment"] == "noted" and ar.read_archive(spark, path, verify=True).count() == 4
 
 
 def test_damage_is_found(spark, path, tmp_path):
