@@ -22,7 +22,7 @@ from coldlake.functions.transforms import csv_bytes
 from coldlake.operators.contract import Contract, evolve
 from coldlake.operators.filters import FilterSpec, apply_filter, as_scalar, may_match, normalise_columns
 from coldlake.operators.profile import auto_select
-from coldlake.sources.codecs import CODEC_PROFILES, parquet_options, quantise, seal, unseal
+from coldlake.sources.codecs import CODEC_PROFILES, column_options, parquet_options, quantise, seal, unseal
 from coldlake.sources.files import Files, hadoop_path
 from coldlake.sources.manifest import MANIFEST_NAME, MAX_COMMENT_BYTES, ArchiveFile, Manifest
 
@@ -54,13 +54,14 @@ def _file_path(path: str, file: ArchiveFile) -> str:
 
 
 def _write_files(
-    df: DataFrame, path: str, generation: int, row_start: int, codec: str, chunk_rows: int, stats: list[str], sha: bool
+    df: DataFrame, path: str, generation: int, row_start: int, codec: str, chunk_rows: int, stats: list[str], sha: bool,
+    options: dict[str, str] | None = None,
 ) -> list[ArchiveFile]:
     """Write ``df`` as a new generation of files and describe them, by distributed jobs."""
     spark = df.sparkSession
     folder = f"data/g{generation:06d}-{uuid.uuid4().hex[:8]}"
     target = f"{hadoop_path(path).rstrip('/')}/{folder}"
-    writer = df.write.options(**parquet_options(codec)).option("maxRecordsPerFile", chunk_rows)
+    writer = df.write.options(**parquet_options(codec), **(options or {})).option("maxRecordsPerFile", chunk_rows)
     writer.parquet(target)
     written = spark.read.schema(df.schema).parquet(target)
     name = F.col("_metadata.file_name")
@@ -96,6 +97,7 @@ def write_archive(
     primary_key: None | str | Iterable[str] = None,
     contract: Contract | None = None,
     codec_profile: str | None = None,
+    column_encodings: dict[str, str] | None = None,
     sha256: bool = True,
     measure_csv: bool = False,
     overwrite: bool = True,
@@ -138,7 +140,8 @@ def write_archive(
         generation = 1
     stats = _stats_columns(schema, partition_by, keys) if key is None else []
     stored = df if key is None else seal(df, key)
-    written = _write_files(stored, path, generation, 0, requested, chunk_rows, stats, sha256)
+    extra = column_options(column_encodings, schema.names)
+    written = _write_files(stored, path, generation, 0, requested, chunk_rows, stats, sha256, extra)
     manifest = Manifest(
         schema=json.loads(schema.json()),
         files=written,
@@ -153,6 +156,7 @@ def write_archive(
         retention_days=retention_days,
         orig_bytes=orig_bytes,
         contract=contract.to_dict() if contract else None,
+        column_codecs=column_encodings or {},
         transforms=transforms,
         encryption={"algorithm": "AES-GCM", "scope": "column"} if key is not None else None,
         generation=generation,
@@ -287,7 +291,7 @@ def append_archive(
     generation = manifest.generation + 1
     stats = _stats_columns(full, manifest.partition_by, manifest.primary_key)
     chunk_rows = manifest.chunk_rows or DEFAULT_CHUNK_ROWS
-    new = _write_files(df, path, generation, manifest.rows, manifest.codec_requested, chunk_rows, stats, sha256)
+    new = _write_files(df, path, generation, manifest.rows, manifest.codec_requested, chunk_rows, stats, sha256, column_options(manifest.column_codecs, names))
     files = Files(spark)
     lock = f"{path.rstrip('/')}/.generation-{generation}"
     if not files.create_new(lock, ""):

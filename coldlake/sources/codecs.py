@@ -26,6 +26,28 @@ PARQUET_CODECS: dict[str, tuple[str, int | None]] = {
 CODEC_PROFILES = {"balanced": "zstd", "max_compression": "lzma2", "max_speed": "lz4", "auto": "auto"}
 
 
+#: Per-column choice to the Parquet writer's options for that column.
+COLUMN_ENCODINGS = {
+    "dictionary": {"parquet.enable.dictionary": "true"},
+    "plain": {"parquet.enable.dictionary": "false"},
+    "bloom": {"parquet.bloom.filter.enabled": "true"},
+}
+
+
+def column_options(encodings: dict[str, str] | None, columns: list[str]) -> dict[str, str]:
+    """Writer options of per-column encodings; unknown columns are ignored, unknown encodings are not.
+
+    Parquet compresses all columns of a file alike, so encodings are what can differ by column.
+    """
+    out = {}
+    for column, encoding in (encodings or {}).items():
+        if encoding not in COLUMN_ENCODINGS:
+            raise ValueError(f"unknown encoding {encoding!r}; use one of {', '.join(COLUMN_ENCODINGS)}")
+        if column in columns:
+            out |= {f"{k}#{column}": v for k, v in COLUMN_ENCODINGS[encoding].items()}
+    return out
+
+
 def parquet_options(codec: str) -> dict[str, str]:
     if codec not in PARQUET_CODECS:
         raise ValueError(f"unknown codec {codec!r}; use one of {', '.join(PARQUET_CODECS)}")

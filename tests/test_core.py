@@ -494,3 +494,32 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["catalog", str(tmp_path / "cat"), "register", arc]) == 0
     assert main(["catalog", str(tmp_path / "cat"), "search"]) == 0 and main(["catalog", str(tmp_path / "cat"), "verify"]) == 0
     assert "arc" in capsys.readouterr().out
+
+
+def test_functions_over_the_active_session(spark, tmp_path):
+    import pandas as pd
+
+    import coldlake
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    key = coldlake.FileKey.create(str(tmp_path / "key"))
+    coldlake.freeze(pd.DataFrame({"id": [1, 2], "v": ["x", "y"]}), a, primary_key="id", column_encodings={"v": "bloom", "zz": "plain"})
+    coldlake.freeze(coldlake.unfreeze(a), b, primary_key="id", codec=coldlake.CODEC_LZMA2)
+    assert coldlake.append(b, pd.DataFrame({"id": [3], "v": ["z"]}))["total_rows"] == 3
+    assert coldlake.diff(a, b, output="summary")["inserted"] == 1
+    assert len(coldlake.unfreeze(b, engine="pandas", filter={"id": (2, 3)})) == 2
+    assert coldlake.register("tab", a) == "tab" and "tab" in coldlake.registered()
+    assert coldlake.query(f"SELECT COUNT(*) AS n FROM tab JOIN '{b}' b USING (id)").first()["n"] == 2
+    coldlake.set_path_resolver(lambda p: p.replace("nowhere", str(tmp_path)))
+    assert coldlake.query("SELECT * FROM 'nowhere/a'").count() == 2
+    coldlake.set_path_resolver(None)
+    assert coldlake.unregister("tab")
+    coldlake.copy_archive(a, str(tmp_path / "c"))
+    assert coldlake.unfreeze(str(tmp_path / "c"), verify=True).count() == 2 and coldlake.audit(a)["rows"] == 2
+    sealed = str(tmp_path / "sealed")
+    coldlake.freeze(coldlake.unfreeze(a), sealed, key=key)
+    assert coldlake.unfreeze(sealed, key=key).count() == 2
+    with pytest.raises(ValueError):
+        coldlake.freeze(coldlake.unfreeze(a), sealed, column_encodings={"v": "zz"})
+    with pytest.raises(AttributeError):
+        coldlake.no_such_name
