@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldlake.llm.common import scratch_path
+from coldlake.llm.common import bound_batches, scratch_path
 
 #: Characters of text in a block, unless one document is longer.
-BLOCK_CHARS = 8 << 20
-#: Most bytes in an output batch of a block's documents.
-OUT_IDS = 2 << 20
+BLOCK_CHARS = 6 << 20
+#: Most token ids in an output batch of a block's documents, unless one document has more.
+OUT_IDS = 1 << 20
 
 
 def read_ranks(path: str) -> bytes:
@@ -240,6 +240,7 @@ def encode(
     if ids_col.lower() in {c.lower() for c in docs.columns if c != text_col}:
         raise ValueError(f"docs has a column {ids_col!r}; name another for the ids")
     spark = docs.sparkSession
+    bound_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = slices or buckets
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
@@ -267,6 +268,7 @@ def encode(
 def decode(tokens: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``tokens`` with the decoded bytes as binary column ``bytes_col``; null ids count as none."""
     spark = tokens.sparkSession
+    bound_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Most rows in a batch of texts that Python gets at once.
+TEXT_BATCH_ROWS = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to TEXT_BATCH_ROWS rows if they are larger.
+
+    The default of 10,000 rows would hold 10,000 long texts in memory several times over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder that ``spark.checkpoint.dir`` names.
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import ascii_lower, free_name, materialise
+from coldlake.llm.common import ascii_lower, bound_batches, free_name, materialise
 
 #: Share of a container's good text that its child must hold to be preferred.
 SHARE = 0.8
@@ -278,6 +278,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with text, n_chars (code points) and by_consensus."""
+    bound_batches(pages.sparkSession)
     winners = materialise(host_paths(pages, url_col, html_col), "host-paths")
     if winners.count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)

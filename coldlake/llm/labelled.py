@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coldlake.llm.common import bound_batches
+
 #: Remainder of crc32(id as text) modulo FOLDS whose rows are never learnt from.
 FOLDS, HELD_OUT = 3, 1
 
@@ -25,6 +27,7 @@ def labelled_sample(
     Rows are taken in the order of a seeded hash of the id, so reruns agree; with ``per_class`` each
     label gets an equal share. Ids labelled twice or null, and null labels, are left out.
     """
+    bound_batches(docs.sparkSession)
     usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id")

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coldlake.llm.common import bound_batches
 from coldlake.llm.labelled import labelled_sample
 
 MAX_ROWS = 2000
@@ -228,6 +229,7 @@ def judge(text: str | None, model: LineModel) -> tuple:
 
 def apply_rules(docs: DataFrame, model: LineModel, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of RESULT."""
+    bound_batches(docs.sparkSession)
     names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

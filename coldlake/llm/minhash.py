@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldlake.llm import exact
-from coldlake.llm.common import map_groups, materialise
+from coldlake.llm.common import bound_batches, map_groups, materialise
 from coldlake.llm.components import connected_components
 from coldlake.llm.shingles import WordHasher, mix, shingle_hashes
 
@@ -43,7 +43,7 @@ BLOCK_SHINGLES = 400_000
 #: Linked groups of at least this many nodes get blocks of their own.
 LARGE_GROUP = 512
 #: Words that a task remembers the hashes of.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 class MinMaxHasher:
@@ -218,6 +218,7 @@ def near_duplicate_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept."""
+    bound_batches(docs.sparkSession)
     hasher = MinMaxHasher()
     signed = materialise(signatures(docs, id_col, text_col, size, hasher), "signatures")
     nodes = signed.where("n > 0").groupBy("digest").agg(

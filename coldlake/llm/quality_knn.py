@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coldlake.llm.common import bound_batches
 from coldlake.llm.labelled import held_out, labelled_sample, term_counts, term_rows
 
 MAX_ROWS = 4096
@@ -148,6 +149,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 
 def score_quality(docs: DataFrame, model: NeighbourModel, text_col: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if the score is at least 0.5)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

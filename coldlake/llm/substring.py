@@ -27,12 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldlake.llm import exact
-from coldlake.llm.common import free_name, materialise
+from coldlake.llm.common import bound_batches, free_name, materialise
 from coldlake.llm.shingles import ASCII_LOWER, WordHasher, mix
 
 MODULUS = 6
@@ -167,6 +166,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clash = {c.lower() for c in docs.columns} & set(RESULT_COLUMNS)
     if clash:
         raise ValueError(f"docs has columns {sorted(clash)}; rename them first")
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_RANK))
     keyed = docs.select(rank.alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
