@@ -2,7 +2,9 @@
 
 Severity grades 0 to 3 are predicted by one weight vector shared across ordered thresholds:
 P(grade > k) = sigmoid(w.x - t_k) with t_0 < t_1 < t_2. The expected severity is the sum of these
-three probabilities; a document with P(grade > 0) of at least ``reject_at`` is rejected.
+three probabilities. A document is rejected if P(grade > 0) reaches the model's ``reject_at``: the
+probability from 0.1 to 0.5 that gains most on the training rows, caught toxic rows less twice the
+clean rows that it costs.
 
 Features are a document's lower-cased words (maximal runs of letters) and their first four and five
 letters, which catch inflected and compounded forms, with value log(1 + count). Only those that
@@ -29,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coldlake.llm.common import bound_batches
 from coldlake.llm.labelled import labelled_sample, term_counts, term_rows
 
 GRADES = 3
@@ -56,6 +59,7 @@ class OrdinalModel:
     vocabulary: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    reject_at: float = 0.5
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) for each score and k."""
@@ -143,18 +147,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     toxic = found["label"].to_numpy() > 0
     cuts = np.quantile(markers[toxic], [1 / 3, 2 / 3]) if toxic.any() else [0, 0]
     grades = np.where(toxic, 1 + (markers > cuts[0]) + (markers > cuts[1]), 0)
-    weights, thresholds = fit_ordinal(rows, [np.log1p(c) for c in counts], grades, len(vocabulary))
-    return OrdinalModel(vocabulary, weights, thresholds)
-
-
-def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
+    values = [np.log1p(c) for c in counts]
+    weights, thresholds = fit_ordinal(rows, values, grades, len(vocabulary))
+    model = OrdinalModel(vocabulary, weights, thresholds)
+    p = model.probabilities(np.array([weights[r] @ v for r, v in zip(rows, values)]))[:, 0]
+    gains = [(int((p[toxic] >= t).sum() - 2 * (p[~toxic] >= t).sum()), t) for t in np.arange(10, 51, 2) / 100]
+    model.reject_at = float(max(gains)[1])
+    return model
+
+
+def score_toxicity(
+    docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float | None = None
+) -> DataFrame:
     """``docs`` with severity (expected grade), grade (most likely), p_toxic and rejected."""
+    reject_at = model.reject_at if reject_at is None else reject_at
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most MAX_TERMS terms
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        words: dict[str, list[int]] = {}
         known = {k: {t[2:]: n for t, n in model.vocabulary.items() if t[:2] == k} for k in ("w:", "4:", "5:")}
         by_word, by_four, by_five = known["w:"], known["4:"], known["5:"]
         weights = model.weights
@@ -179,7 +191,6 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
             p = model.probabilities(scores)
             chance = np.concatenate([np.ones((len(p), 1)), p], 1) - np.concatenate([p, np.zeros((len(p), 1))], 1)
             yield pd.DataFrame({"severity": p.sum(1), "grade": chance.argmax(1).astype("int32"), "p_toxic": p[:, 0]})
-        words.clear()
 
     judge = F.pandas_udf(run, "severity double, grade int, p_toxic double")
     names = ("severity", "grade", "p_toxic", "rejected")
@@ -189,7 +200,9 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     return judged.select(*keep, *parts, (F.col("severity.p_toxic") >= reject_at).alias("rejected"))
 
 
-def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
+def drop_toxic(
+    docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float | None = None
+) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their own columns."""
     columns = docs.columns
     whole = docs.select(F.col(text_col).alias("text"), F.struct(*columns).alias("row"))

@@ -16,7 +16,7 @@ result column are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd

@@ -39,7 +39,7 @@ def test_toxicity(spark, steps):
     def rejected(text):
         found = {model.vocabulary[t]: n for t, n in toxicity.toxicity_terms(text).items() if t in model.vocabulary}
         score = sum(model.weights[k] * np.log1p(n) for k, n in found.items())
-        return model.probabilities(np.array([score]))[0, 0] >= 0.5
+        return model.probabilities(np.array([score]))[0, 0] >= model.reject_at
 
     want = {i for i, t in zip(steps[0]["doc_id"], steps[0]["text"]) if not rejected(t)}
     assert set(steps[1]["doc_id"]) == want and len(steps[1]) == len(want)
