@@ -8,18 +8,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coldlake.api import copy_archive
 from coldlake.functions import transforms as tr
 from coldlake.operators import catalog as cat
 from coldlake.operators import profile as prof
 from coldlake.operators.contract import Contract, Field, evolve, schema_diff
-from coldlake.operators.detect import field_census, flatten, top_tokens
+from coldlake.operators.detect import field_census, flatten, tabular, top_tokens
 from coldlake.operators.diff import diff_positional, diff_tables
 from coldlake.operators.filters import apply_filter
+from coldlake.operators.recipes import parse_recipe, run_recipe
 from coldlake.plans.catalogue import ORACLES, QUERIES, query
 from coldlake.plans.sqlfront import SqlFront
 from coldlake.plans.tables import scratch, table, views
-from coldlake.sources.archive import append_archive, peek, read_archive, read_manifest, row_numbers, verify_files, write_archive
+from coldlake.sources.archive import (
+    append_archive,
+    compact,
+    peek,
+    read_archive,
+    read_manifest,
+    row_numbers,
+    verify_files,
+    write_archive,
+)
 from coldlake.sources.codecs import quantise
+from coldlake.sources.export import write_file
+from coldlake.sources.readers import RangeSource, read_archives, read_source
 from coldlake.streaming.ingest import sessions, tumbling
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -875,3 +888,83 @@ def manifest_schema(spark, sf_dir):
     path, _ = _round_trip(table(spark, sf_dir, "region"), "schema")
     fields = read_manifest(spark, path).schema["fields"]
     return spark.createDataFrame([(f["name"], json.dumps(f["type"]).strip('"')) for f in fields], "column_name string, column_type string")
+
+
+# ---- sources, sinks and recipes
+
+
+@query("source_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def source_csv(spark, sf_dir):
+    path = scratch(spark, "csv") + "/customer.csv"
+    customer = table(spark, sf_dir, "customer")
+    write_file(customer, path)
+    return read_source(spark, path, customer.schema)
+
+
+@query("source_jsonl", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def source_jsonl(spark, sf_dir):
+    path = scratch(spark, "jsonl") + "/nation.jsonl"
+    write_file(table(spark, sf_dir, "nation"), path)
+    return read_source(spark, path)
+
+
+@query("source_parquet", "SELECT * FROM part")
+def source_parquet(spark, sf_dir):
+    path = scratch(spark, "parquet") + "/part.parquet"
+    write_file(table(spark, sf_dir, "part"), path)
+    return read_source(spark, path)
+
+
+@query("source_row_range", "SELECT 50 AS n")
+def source_row_range(spark, sf_dir):
+    rows = RangeSource(spark, f"{sf_dir.rstrip('/')}/customer.parquet").rows(10, 60)
+    return rows.agg(F.count("*").cast("int").alias("n"))
+
+
+@query("archives_union", "SELECT * FROM nation")
+def archives_union(spark, sf_dir):
+    root, nation = scratch(spark, "union"), table(spark, sf_dir, "nation")
+    for k in range(3):
+        write_archive(nation.where(F.col("n_nationkey") % 3 == k), f"{root}/part{k}")
+    return read_archives(spark, f"{root}/part*")
+
+
+@query("format_read", "SELECT * FROM supplier WHERE s_nationkey = 3")
+def format_read(spark, sf_dir):
+    """Rows through Spark's reader of archives; the pruned file list comes from the manifest."""
+    path, _ = _round_trip(table(spark, sf_dir, "supplier"), "format", partition_by="s_nationkey")
+    return read_archive(spark, path, filter={"s_nationkey": 3})
+
+
+@query("recipe_run", "SELECT COUNT(*) AS n, COUNT(DISTINCT r_name) AS names FROM region")
+def recipe_run(spark, sf_dir):
+    out = scratch(spark, "recipe")
+    run_recipe(spark, parse_recipe({"name": "r", "source": f"{sf_dir.rstrip('/')}/region.parquet", "output": out, "codec": "lzma2"}))
+    return read_archive(spark, out).agg(F.count("*").alias("n"), F.count_distinct("r_name").alias("names"))
+
+
+@query("copy_between_stores", "SELECT * FROM region")
+def copy_between_stores(spark, sf_dir):
+    source, target = scratch(spark, "copy-from"), scratch(spark, "copy-to")
+    write_archive(table(spark, sf_dir, "region"), source)
+    copy_archive(source, target)
+    return read_archive(spark, target, verify=True)
+
+
+@query("tr_quant_medium", "SELECT o_orderkey, round_even(o_totalprice, 0) AS o_totalprice, o_orderdate FROM orders")
+def tr_quant_medium(spark, sf_dir):
+    return quantise(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), 2)[0]
+
+
+@query("detect_kind", "SELECT 'tabular' AS kind, 6 AS n_fields, 0 AS nullable_fields")
+def detect_kind(spark, sf_dir):
+    found = tabular(table(spark, sf_dir, "part"))
+    row = (found.kind.value, len(found.fields), sum(f.nullable for f in found.fields))
+    return spark.createDataFrame([row], "kind string, n_fields int, nullable_fields int")
+
+
+@query("compacted", "SELECT * FROM supplier")
+def compacted(spark, sf_dir):
+    path, _ = _round_trip(table(spark, sf_dir, "supplier"), "compact", chunk_rows=7)
+    compact(spark, path, 1000)
+    return read_archive(spark, path, verify=True)
