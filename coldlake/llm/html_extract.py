@@ -124,7 +124,8 @@ class Page:
 def parse(html: str | None) -> Page:
     """Containers and text blocks of a page, in page order."""
     nodes, blocks = [Node(-1, "body", False)], []
-    stack: list[tuple[str, int]] = [("body", 0)]  # open elements, each with its container
+    # open elements, each with its container and whether it is inline boilerplate, whose text is left out
+    stack: list[tuple[str, int, bool]] = [("body", 0, False)]
     text: list[str] = []
     free = links = 0
 
@@ -140,6 +141,8 @@ def parse(html: str | None) -> Page:
     for token in _TOKEN.finditer(html or ""):
         piece = token.group()
         if piece[0] != "<" or piece == "<":
+            if stack[-1][2]:
+                continue
             piece = html_lib.unescape(piece) if "&" in piece else piece
             text.append(piece)
             if not links:
@@ -189,9 +192,12 @@ def parse(html: str | None) -> Page:
                     break
         if tag == "a":
             links += 1
-        container = stack[-1][1]
+        container, muted = stack[-1][1:]
         attributes = _attributes(piece) if len(piece) > len(tag) + 2 else {}
-        if tag in _CONTAINERS or (attributes and _is_boiler(tag, attributes, True)):
+        own_boiler = _is_boiler(tag, attributes, True)
+        if own_boiler and not block:
+            muted = True
+        elif tag in _CONTAINERS or own_boiler:
             above = nodes[container]
             in_article = "article" in above.path or "main" in above.path
             boiler = above.boiler or _is_boiler(tag, attributes, in_article)
@@ -200,7 +206,7 @@ def parse(html: str | None) -> Page:
             above.children.append(len(nodes) - 1)
             container = len(nodes) - 1
         if not piece.endswith("/>") or tag in _CONTAINERS:
-            stack.append((tag, container))
+            stack.append((tag, container, muted and not block))
     flush()
     return Page(nodes, blocks)
 

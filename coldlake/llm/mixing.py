@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import free_name, materialise
+from coldlake.llm.common import BROADCAST_LIMIT_BYTES, free_name, materialise
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 DIGIT_BITS = 8
@@ -140,14 +140,19 @@ def plan_mix(
     return table, plan
 
 
+def _small(side: DataFrame, size: int) -> DataFrame:
+    """``side`` marked for broadcast if its size in bytes allows it; otherwise it is joined by a shuffle."""
+    return F.broadcast(side) if size <= BROADCAST_LIMIT_BYTES else side
+
+
 def _frame(table: DataFrame, plan: pd.DataFrame, columns: list[str]) -> DataFrame:
-    """``table`` with columns of its source's plan row; the plan is bounded and is broadcast."""
+    """``table`` with columns of its source's plan row."""
     kinds = {"threshold": "long", "low": "long", "gap": "double", "k": "int"}
     values = [[int(i), s, *r] for i, s, r in zip(plan.index, plan["source"], plan[columns].values.tolist())]
     schema = "number int, name string, " + ", ".join(f"{c} {kinds[c]}" for c in columns)
     values = [[v[0], v[1], *(int(x) if kinds[c] != "double" else float(x) for c, x in zip(columns, v[2:]))] for v in values]
     side = table.sparkSession.createDataFrame(values, schema)
-    return table.join(F.broadcast(side), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    return table.join(_small(side, len(values) * 64), F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
 
 def _thresholds(table: DataFrame, plan: pd.DataFrame) -> None:
@@ -188,7 +193,7 @@ def _thresholds(table: DataFrame, plan: pd.DataFrame) -> None:
         used = [(int(k), u) for k in todo.index for u in fill[k]]
         if used:
             gone = table.sparkSession.createDataFrame(used, "number int, u long")
-            rest = rest.join(F.broadcast(gone), ["number", "u"], "left_anti")
+            rest = rest.join(_small(gone, 32 * len(used)), ["number", "u"], "left_anti")
         # documents that share a hash are taken together, so their words count together
         shared = rest.groupBy("number", "u", "gap").agg(F.sum("size").alias("words")).where("words < 2 * gap")
         miss = F.struct(F.abs(F.col("gap") - F.col("words")).alias("miss"), "u", "words")
@@ -286,7 +291,7 @@ def mix_sources(
         "ends array<long>"
     )
     plan_rows = docs.sparkSession.createDataFrame(side, schema)
-    joined = whole.join(F.broadcast(plan_rows), F.col("source").eqNullSafe(F.col("name")))
+    joined = whole.join(_small(plan_rows, len(side) * (128 + 8 * shards)), F.col("source").eqNullSafe(F.col("name")))
     below = (F.col("u") < F.col("threshold")) & ~F.array_contains("gone", F.col("u"))
     filled = ~below & F.array_contains("fill", F.col("u"))
     times = F.col("whole") + (below | filled).cast("int")

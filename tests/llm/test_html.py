@@ -50,6 +50,11 @@ def test_host_vote_decides(spark):
     assert extract_pages(spark.createDataFrame([], frame.schema)).collect() == []
 
 
+def test_inline_boilerplate_does_not_split_a_block():
+    page = "<article><p>One <button>Go</button><span class='ad'>buy <i>now</i></span> two <span hidden>x</span>three.<p>Four</article>"
+    assert extract(page, "body>article") == ("One two three.\nFour", True)
+
+
 def test_long_page():
     body = "".join(f"<p>Paragraph number {k} of a very long article.</p>" for k in range(20_000))
     text, _ = extract(f"<body><article>{body}</article></body>", "body>article")
