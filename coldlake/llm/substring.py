@@ -1,18 +1,20 @@
 """Removal of repeated passages by hashing normalised units and keeping each unit's first occurrence.
 
-Lines alone are too coarse here: shared passages also stand in the middle of lines. Units are
-therefore lines cut further at content-defined places: after each word whose hash, taken together
-with that of the word before it, is 0 modulo ``MODULUS``. The same passage is cut at the same places
-wherever it stands, so all its units but the fragments at its two ends have equal digests.
-
-1. Units of at least ``UNIT_WORDS`` words are hashed to 128 bits after lower-casing A-Z and reducing
-   white space; a document's digests are one row of a table in the shared folder.
+Shared passages start and end in the middle of lines, and run over any number of lines. Units are
+therefore windows of ``RUN_WORDS`` words, taken where the hash of the window is the least among
+``SPREAD`` neighbouring ones (winnowing), whatever line ends lie between the words. The choice
+depends on these words only: of any passage of at least ``RUN_WORDS + SPREAD - 1`` words a window is
+taken, at the same places wherever it stands, and the windows taken cover it but for fewer than
+``SPREAD`` words at each end.
+
+1. Units are hashed to 128 bits after lower-casing A-Z and reducing white space; a document's digests
+   are one row of a table in the shared folder.
 2. Digests are grouped globally (with partial sums before the shuffle); of a repeated digest the
    document with the smallest id keeps it, and within that document its first place.
 3. Repeated digests are joined back to the units that a Bloom filter of them lets through.
-4. In each document, runs of repeated units with at least ``RUN_WORDS`` words in hashed units go,
-   short units between two repeated ones included. Original offsets of what goes are kept, with the
-   id of the document that holds the first occurrence of the run's first unit.
+4. In each document the words of all repeated units go, but for those that a unit's first place in
+   the same document shares with it. Original offsets of what goes are kept, with the id of the
+   document that holds the first occurrence of the run's first unit.
 
 Null and empty texts have no units. Rows that share an id rank alike, so none of them loses text to
 another; rows that share id and text are treated alike. Null ids rank last. Other columns pass
@@ -34,47 +36,80 @@ from coldlake.llm import exact
 from coldlake.llm.common import bound_batches, free_name, materialise
 from coldlake.llm.shingles import ASCII_LOWER, WordHasher, mix
 
-MODULUS = 6
-UNIT_WORDS = 4
+#: Words of a window, and of how many neighbouring windows at least one is taken.
 RUN_WORDS = 12
+SPREAD = 8
+#: Least words of a unit.
+UNIT_WORDS = 1
 _WORD = re.compile("[^\x20\x09-\x0d]+")
-_MULT = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
+_BASES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+_POWERS: dict[int, np.ndarray] = {}
 _LAST_RANK = (1 << 63) - 1
 RESULT_COLUMNS = ("n_units", "removed", "removed_words", "kept_text")
 
 
-def cut_units(text: str | None, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of the units in words, and two 64-bit digests of each; units do not cross lines."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
-    words, line_ends = [], []
-    for line in raw.split(b"\n"):
-        words += line.split()
-        line_ends.append(len(words))
-    if not words:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64, cached in blocks."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(1024, 2 * n), base, np.uint64)
+        have[0] = 1
+        have = _POWERS[base] = np.cumprod(have)
+    return have[:n]
+
+
+def _span_sums(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hashes of ``codes`` at ``starts`` of ``sizes``, independent of the place."""
+    inverse = pow(base, -1, 1 << 64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(base, len(codes)))])
+    return (sums[starts + sizes] - sums[starts]) * _powers(inverse, len(codes))[starts]
+
+
+def _windows(codes: np.ndarray) -> np.ndarray:
+    """First words of the windows that are taken."""
+    n = len(codes) - RUN_WORDS + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    every = np.arange(n)
+    rank = mix(_span_sums(codes, every, np.full(n, RUN_WORDS), _BASES[0]))
+    span = min(SPREAD, n)
+    least = rank[: n - span + 1].copy()
+    for k in range(1, span):
+        np.minimum(least, rank[k : n - span + 1 + k], out=least)
+    taken = np.zeros(n, bool)
+    for k in range(span):
+        taken[k : n - span + 1 + k] |= rank[k : n - span + 1 + k] == least
+    return np.flatnonzero(taken)
+
+
+def find_units(text: str | None, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words and sizes in words of the units, and two 64-bit digests of each."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
     codes = np.fromiter(map(hasher.__getitem__, words), np.uint64, len(words))
-    before = np.concatenate([[np.uint64(0)], codes[:-1]])
-    cut = mix(codes * _MULT + before) % np.uint64(MODULUS) == 0
-    cut[np.array([e for e in line_ends if e], np.int64) - 1] = True
-    ends = np.flatnonzero(cut) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    place = np.arange(len(codes), dtype=np.uint64) - np.repeat(starts, ends - starts).astype(np.uint64)
-    sizes = (ends - starts).astype(np.uint64)
-    first = np.add.reduceat(mix(codes + (place + np.uint64(1)) * _OTHER), starts)
-    second = np.add.reduceat(mix((codes ^ _OTHER) + (place + np.uint64(1)) * _MULT), starts)
-    return ends, mix(first + sizes), mix(second ^ sizes)
+    starts = _windows(codes)
+    sizes = np.full(len(starts), RUN_WORDS)
+    kind = sizes.astype(np.uint64)
+    first = _span_sums(codes, starts, sizes, _BASES[0])
+    second = _span_sums(codes ^ _OTHER, starts, sizes, _BASES[1])
+    return starts, sizes, mix(first + kind), mix(second ^ kind)
+
+
+def cut_units(text: str | None, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running totals of the units' sizes in words, and two 64-bit digests of each."""
+    _, sizes, a, b = find_units(text, hasher)
+    return np.cumsum(sizes), a, b
 
 
 def _hashed_units(text: str | None, hasher: WordHasher):
-    ends, a, b = cut_units(text, hasher)
-    sizes = np.diff(ends, prepend=0)
-    some = sizes >= UNIT_WORDS
-    return a[some].view(np.int64), b[some].view(np.int64), len(ends)
+    """Digests of the units, and whether a unit occurs more than once in the text."""
+    _, _, a, b = find_units(text, hasher)
+    _, place, times = np.unique(a, return_inverse=True, return_counts=True)
+    return a.view(np.int64), b.view(np.int64), times[place] > 1
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """id, h, n_units and the digests of the hashed units of (id, h, text)."""
+    """id, h, n_units and the units of (id, h, text): digests, and whether the text holds it again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -85,61 +120,44 @@ def _digests(docs: DataFrame) -> DataFrame:
             a = np.concatenate([f[0] for f in found] or [np.empty(0, np.int64)])
             b = np.concatenate([f[1] for f in found] or [np.empty(0, np.int64)])
             offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            more = np.concatenate([f[2] for f in found] or [np.empty(0, bool)])
+            pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
             units = pa.ListArray.from_arrays(pa.array(offsets), pairs)
-            counts = pa.array([f[2] for f in found], pa.int64())
+            counts = pa.array([len(f[0]) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("h"), counts, units], ["id", "h", "n_units", "units"]
             )
 
-    return docs.mapInArrow(run, "id long, h long, n_units long, units array<struct<a:long,b:long>>")
+    return docs.mapInArrow(run, "id long, h long, n_units long, units array<struct<a:long,b:long,more:boolean>>")
 
 
 def removed_spans(text: str, repeated: dict[int, tuple[bool, int]], hasher: WordHasher):
     """Spans (start, end, first id) to remove from ``text`` and their number of words.
 
-    ``repeated`` maps numbers of hashed units to whether this document holds the first occurrence,
-    and the id of the document that does.
+    ``repeated`` maps numbers of units to whether this document holds the first occurrence, and the
+    id of the document that does.
     """
-    ends, a, b = cut_units(text, hasher)
-    sizes = np.diff(ends, prepend=0)
-    hashed = sizes >= UNIT_WORDS
-    state, owner = np.zeros(len(ends), bool), {}
-    seen: set[tuple[int, int]] = set()
-    for number, unit in enumerate(np.flatnonzero(hashed).tolist()):
-        hit = repeated.get(number)
-        if hit is None:
-            continue
-        own, first = hit
-        key = (int(a[unit]), int(b[unit]))
-        state[unit] = not own or key in seen
-        owner[unit] = first
-        seen.add(key)
-    solid = state.copy()
-    # short units go with repeated neighbours on both sides
-    k = 0
-    while k < len(state):
-        if not hashed[k]:
-            j = k
-            while j < len(state) and not hashed[j]:
-                j += 1
-            if 0 < k and j < len(state) and solid[k - 1] and solid[j]:
-                state[k:j] = True
-            k = j
-        else:
-            k += 1
-    spans, words_gone = [], 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], state.astype(np.int8), [0]])))
-    places = None
-    for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        if sizes[begin:end][hashed[begin:end]].sum() < RUN_WORDS:
-            continue
-        if places is None:
+    starts, sizes, a, b = find_units(text, hasher)
+    gone, owner = None, {}
+    seen: dict[tuple[int, int], int] = {}
+    for number in sorted(repeated):
+        own, first = repeated[number]
+        start, end = int(starts[number]), int(starts[number] + sizes[number])
+        if own:
+            place = seen.setdefault((int(a[number]), int(b[number])), start)
+            if place == start:
+                continue
+            start = max(start, place + int(sizes[number]))  # its first place stays whole
+        if gone is None:
             places = [m.span() for m in _WORD.finditer(text)]
-        first_word, last_word = int(ends[begin] - sizes[begin]), int(ends[end - 1]) - 1
-        spans.append((places[first_word][0], places[last_word][1], owner.get(begin)))
-        words_gone += last_word + 1 - first_word
-    return spans, words_gone
+            gone = np.zeros(len(places) + 1, np.int8)
+        gone[start:end] = 1
+        owner.setdefault(start, first)
+    if gone is None:
+        return [], 0
+    edges = np.flatnonzero(np.diff(gone, prepend=0))
+    pairs = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+    return [(places[x][0], places[y - 1][1], owner[x]) for x, y in pairs], int(gone.sum())
 
 
 def cut_spans(text: str, spans: list[tuple]) -> str:
@@ -171,12 +189,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_RANK))
     keyed = docs.select(rank.alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     table = materialise(_digests(keyed), "units")
-    rows = table.select("id", "h", F.posexplode("units").alias("unit", "digest")).select("id", "h", "unit", "digest.a", "digest.b")
+    rows = table.select("id", "h", F.posexplode("units").alias("unit", "digest")).select("id", "h", "unit", "digest.*")
     groups = rows.groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = materialise(groups.select("a", "b", "first"), "repeated")
     bloom = exact.repeated_filter(groups.select(F.xxhash64("a", "b").alias("h")), groups.count(), bits_per_row=16, least=1)
     probed = exact.flag_repeated(rows.withColumn("probe", F.xxhash64("a", "b")), "probe", bloom, "hit")
-    hits = probed.where("hit").select("id", "h", "unit", "a", "b").join(groups, ["a", "b"])
+    hits = probed.where("hit").select("id", "h", "unit", "a", "b", "more").join(groups, ["a", "b"])
+    # where it occurs once, the first document's own unit takes nothing away
+    hits = hits.where("id != first OR more")
     found = hits.groupBy("id", "h").agg(
         F.collect_set(F.struct("unit", (F.col("id") == F.col("first")).alias("own"), "first")).alias("hits")
     )

@@ -90,3 +90,31 @@ def test_plain_rule_and_odd_rows(spark):
 
 def test_empty(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def kept_words(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    return {r["doc_id"]: r["kept_text"].split() for r in substring.remove_repeats(docs).collect()}
+
+
+def test_every_passage_over_fifty_words_goes_in_any_layout(spark):
+    draw = random.Random(3)
+    fresh = iter(range(10**9))
+    words = lambda n: ["w%d" % next(fresh) for _ in range(n)]
+    rows, passages = [], []
+    for k in range(400):
+        passage = words(draw.choice((51, 55, 60)))
+        passages.append(set(passage))
+        for doc in (2 * k, 2 * k + 1):
+            # laid out in lines of one to three words, or as one line, between unique text
+            flow = " ".join(passage) if k % 2 else "".join(w + draw.choice(("\n", " ", "\n")) for w in passage)
+            rows.append((doc, " ".join(words(9)) + draw.choice((" ", "\n")) + flow + " " + " ".join(words(9))))
+    kept = kept_words(spark, rows)
+    for k, passage in enumerate(passages):
+        assert passage <= set(kept[2 * k])
+        assert len(kept[2 * k + 1]) <= 18 + 2 * (substring.SPREAD - 1)
+
+
+def test_periodic_text_keeps_its_first_place(spark):
+    kept = kept_words(spark, [(1, "again " * 500), (2, "a b c " * 40), (3, "x y " + "again " * 30)])
+    assert kept[1] == ["again"] * substring.RUN_WORDS and set(kept[2]) == {"a", "b", "c"} and kept[3] == ["x", "y"]
