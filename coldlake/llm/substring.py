@@ -5,7 +5,8 @@ therefore windows of ``RUN_WORDS`` words, taken where the hash of the window is
 ``SPREAD`` neighbouring ones (winnowing), whatever line ends lie between the words. The choice
 depends on these words only: of any passage of at least ``RUN_WORDS + SPREAD - 1`` words a window is
 taken, at the same places wherever it stands, and the windows taken cover it but for fewer than
-``SPREAD`` words at each end.
+``SPREAD`` words at each end. Besides, every line with a word in it is a unit whatever its length, so
+repeated lines go whole. Lines equal only lines, windows only windows.
 
 1. Units are hashed to 128 bits after lower-casing A-Z and reducing white space; a document's digests
    are one row of a table in the shared folder.
@@ -43,6 +44,7 @@ SPREAD = 8
 UNIT_WORDS = 1
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
+_LINE = np.uint64(1 << 40)
 _BASES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 _POWERS: dict[int, np.ndarray] = {}
 _LAST_RANK = (1 << 63) - 1
@@ -84,12 +86,19 @@ def _windows(codes: np.ndarray) -> np.ndarray:
 
 
 def find_units(text: str | None, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First words and sizes in words of the units, and two 64-bit digests of each."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
+    """First words and sizes in words of the windows and then the lines, and two 64-bit digests of each."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
+    words, lengths = [], []
+    for line in raw.split(b"\n"):
+        if found := line.split():
+            words += found
+            lengths.append(len(found))
     codes = np.fromiter(map(hasher.__getitem__, words), np.uint64, len(words))
-    starts = _windows(codes)
-    sizes = np.full(len(starts), RUN_WORDS)
+    windows, lines = _windows(codes), np.array(lengths, np.int64)
+    starts = np.concatenate([windows, np.cumsum(lines) - lines])
+    sizes = np.concatenate([np.full(len(windows), RUN_WORDS), lines])
     kind = sizes.astype(np.uint64)
+    kind[len(windows) :] += _LINE
     first = _span_sums(codes, starts, sizes, _BASES[0])
     second = _span_sums(codes ^ _OTHER, starts, sizes, _BASES[1])
     return starts, sizes, mix(first + kind), mix(second ^ kind)
@@ -131,13 +140,13 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, h long, n_units long, units array<struct<a:long,b:long,more:boolean>>")
 
 
-def removed_spans(text: str, repeated: dict[int, tuple[bool, int]], hasher: WordHasher):
+def removed_spans(text: str, repeated: dict[int, tuple[bool, int]], hasher: WordHasher, units: tuple | None = None):
     """Spans (start, end, first id) to remove from ``text`` and their number of words.
 
     ``repeated`` maps numbers of units to whether this document holds the first occurrence, and the
-    id of the document that does.
+    id of the document that does. ``units`` are the text's units if they have been found before.
     """
-    starts, sizes, a, b = find_units(text, hasher)
+    starts, sizes, a, b = units or find_units(text, hasher)
     gone, owner = None, {}
     seen: dict[tuple[int, int], int] = {}
     for number in sorted(repeated):
@@ -229,10 +238,11 @@ def _cut(rows: DataFrame, docs: DataFrame, row: str, text_col: str) -> DataFrame
             counts, removed, words, texts = [], [], [], []
             for text, hits in zip(batch["text"], batch["hits"]):
                 text = text or ""
-                counts.append(len(cut_units(text, hasher)[0]))
+                units = find_units(text, hasher)
+                counts.append(len(units[0]))
                 spans, gone = [], 0
                 if hits is not None and len(hits):
-                    spans, gone = removed_spans(text, {h["unit"]: (h["own"], h["first"]) for h in hits}, hasher)
+                    spans, gone = removed_spans(text, {h["unit"]: (h["own"], h["first"]) for h in hits}, hasher, units)
                 removed.append(
                     [{"start": s, "end": e, "first_id": None if o == _LAST_RANK else o} for s, e, o in spans]
                 )

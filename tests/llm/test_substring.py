@@ -118,3 +118,20 @@ def test_every_passage_over_fifty_words_goes_in_any_layout(spark):
 def test_periodic_text_keeps_its_first_place(spark):
     kept = kept_words(spark, [(1, "again " * 500), (2, "a b c " * 40), (3, "x y " + "again " * 30)])
     assert kept[1] == ["again"] * substring.RUN_WORDS and set(kept[2]) == {"a", "b", "c"} and kept[3] == ["x", "y"]
+
+
+def test_repeated_lines_go_whatever_their_length(spark):
+    draw = random.Random(4)
+    fresh = iter(range(10**9))
+    words = lambda n: " ".join("w%d" % next(fresh) for _ in range(n))
+    lines = [words(n) for n in (1, 2, 3, 4, 9, 11, 12, 15, 20, 45) for _ in range(5)]
+    rows, own = [], {}
+    for k in range(150):
+        own[k] = [words(7) for _ in range(2)]
+        line = lines[k % 50]
+        rows.append((k, f"{own[k][0]}\n{draw.choice(('', '  '))}{line.upper() if k > 99 else line.replace(' ', '  ')}\n{own[k][1]}"))
+    rows.append((150, f"{words(5)}\n{lines[0]} and more\nq\n\nq"))
+    kept = kept_words(spark, rows)
+    for k in range(150):
+        assert kept[k] == " ".join([own[k][0], *([lines[k]] if k < 50 else []), own[k][1]]).split()
+    assert kept[150][5:] == [lines[0], "and", "more", "q"]  # a part of a line is not a line
