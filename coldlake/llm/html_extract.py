@@ -1,8 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 1. Each page is parsed into containers (body, div, article, section, ...) and text blocks. Starting
-   at the body, the deepest container that still holds ``SHARE`` of its parent's good text (text
-   outside links and boilerplate) is the page's candidate. Its generalised path joins the tags and
+   at the body, the deepest container that holds all its parent's good text (text outside links and
+   boilerplate) is the page's candidate; the descent ends at an article or main at the latest. Its generalised path joins the tags and
    classes of the containers down to it, with digits in classes replaced by ``#``.
 2. Every page votes for its candidate's path, with the candidate's good text as the vote's weight in
    case of a tie. Votes are summed for each host and path, and a host's winner is the path with most
@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 
 from coldlake.llm.common import ascii_lower, bound_batches, free_name, materialise
 
-#: Share of a container's good text that its child must hold to be preferred.
-SHARE = 0.8
 #: Hosts up to which the winners (about 200 bytes each) are broadcast.
 BROADCAST_HOSTS = 100_000
 
@@ -82,6 +80,8 @@ class Node:
     path: str
     boiler: bool
     good: float = 0.0
+    #: Whether good text stands in it outside its children.
+    own: bool = False
     children: list[int] = field(default_factory=list)
 
 
@@ -145,7 +145,7 @@ def parse(html: str | None) -> Page:
                 continue
             piece = html_lib.unescape(piece) if "&" in piece else piece
             text.append(piece)
-            if not links:
+            if not links and any(map(str.isalnum, piece)):
                 free += len(piece)
             continue
         if token.group(1) is not None:
@@ -215,17 +215,20 @@ def candidate(page: Page) -> int:
     """The container of the page's main text."""
     nodes = page.nodes
     for node in nodes:
-        node.good = 0.0
+        node.good, node.own = 0.0, False
     for k, text, free in page.blocks:
         if not nodes[k].boiler:
             nodes[k].good += len(text) * (free / len(text)) ** 2
+            nodes[k].own |= free > 0
     for k in range(len(nodes) - 1, 0, -1):  # children come after their parents
         nodes[nodes[k].parent].good += nodes[k].good
     k = 0
     while True:
+        if nodes[k].path.rpartition(">")[2].partition(".")[0] in ("article", "main"):
+            return k
         inside = [c for c in nodes[k].children if not nodes[c].boiler]
         best = max(inside, key=lambda c: nodes[c].good, default=None)
-        if best is None or nodes[best].good <= 0 or nodes[best].good < SHARE * nodes[k].good:
+        if best is None or nodes[best].good <= 0 or nodes[k].own or any(nodes[c].good > 0 for c in inside if c != best):
             return k
         k = best
 

@@ -71,3 +71,20 @@ def test_small_table(spark):
         plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
         assert r["text"] == "\n".join(b for b in plain if b)
         assert r["n_chars"] == len(r["text"])
+
+
+def test_nothing_is_left_behind_on_the_way_down(spark):
+    long = "".join(f"<p>Paragraph {k} of the body, long enough to outweigh the rest.</p>" for k in range(20))
+    text = "\n".join(f"Paragraph {k} of the body, long enough to outweigh the rest." for k in range(20))
+    pages = {
+        f"<body><nav>Menu</nav><article><h1>Title</h1><p>Lead.</p><div class=body>{long}</div></article></body>": "Title\nLead.\n",
+        f"<main><p>Lead.</p><section>{long}</section></main>": "Lead.\n",
+        f"<div class=page><div class=intro>Short introduction.</div><div class=body>{long}</div></div>": "Short introduction.\n",
+        f"<div class=page><p>Short introduction.</p><section>{long}</section></div>": "Short introduction.\n",
+        # a bare list of links does not hold the descent up
+        f"<div class=top><a href=/>Home</a> | <a href=/x>More</a></div><div class=body>{long}</div>": "",
+    }
+    rows = [(k, f"http://h{n}.org/{k}", page) for n, page in enumerate(pages) for k in (3 * n, 3 * n + 1)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in extract_pages(frame).collect():
+        assert r["text"] == list(pages.values())[r["page_id"] // 3] + text
