@@ -6,16 +6,18 @@ excess is shared anew by weight among the others until no target does.
 
 Blocks. A source's documents are ordered by a hash of id and text, which permutes them, and cut at
 equal hash ranges into 2^k blocks. A source is taken whole as often as its target allows, and for
-the rest up to a threshold in that order: blocks below it whole, the block that it cuts in part. The
-threshold is found by descending the hash digit by digit with one small aggregation each, so that the
-taken words stay less than a document below the target; then up to ``FILL_ROUNDS`` further documents
-of the source, each the one whose size is nearest to the gap, close it. In sources of at most
-``SMALL_SOURCE`` documents one document may then be exchanged for another to come nearer still.
+the rest in that order, skipping each document with more words than are still wanted, down to the end
+of the order; so less is wanting than any document left out holds. The places are found in rounds:
+the hash is descended digit by digit with one small aggregation each to the first document that does
+not fit, and the next round starts behind it with the documents that fit the smaller gap. At last one
+document at a time is added, dropped or exchanged for another as long as that comes nearer. The rule is the same for
+sources of any size.
 
 Splitting tree. The exact numbers of block copies of all sources are partitioned among the output
 shards: a node's counts are drawn for its left half by a multivariate hypergeometric distribution and
 the rest goes right, down to single shards. Shards draw disjoint runs of each source's permuted
-blocks, and order their documents by a hash.
+blocks, and order their documents by a hash. Documents taken behind the first one skipped join the
+source's blocks by hash.
 
 The driver holds one row for each source and, for the tree, sources x shards counts; sources are
 names of corpora, so both are small, and ``max_sources`` guards the first. All draws are seeded:
@@ -35,12 +37,11 @@ from coldlake.llm.common import BROADCAST_LIMIT_BYTES, free_name, materialise
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 DIGIT_BITS = 8
 DIGITS = 7  # of the 63-bit hash that are descended; ties beyond are taken together
-FILL_ROUNDS = 3
 DOCS_PER_BLOCK = 64
 MAX_SOURCES = 1_000_000
-#: Most documents of a source whose gap is closed by an exchange as well.
-SMALL_SOURCE = 2000
 HASH_BITS = 56
+#: Of a source: documents of u from start to below stop with at most cap words are taken once more.
+PARTS = "array<struct<start:long,stop:long,cap:long>>"
 
 
 def word_count(text):
@@ -147,97 +148,123 @@ def _small(side: DataFrame, size: int) -> DataFrame:
 
 def _frame(table: DataFrame, plan: pd.DataFrame, columns: list[str]) -> DataFrame:
     """``table`` with columns of its source's plan row."""
-    kinds = {"threshold": "long", "low": "long", "gap": "double", "k": "int"}
+    kinds = {"start": "long", "low": "long", "cap": "long", "gap": "double", "parts": PARTS, "fill": "array<long>", "gone": "array<long>"}
+    casts = {"double": float, "long": int, PARTS: list, "array<long>": list}
     values = [[int(i), s, *r] for i, s, r in zip(plan.index, plan["source"], plan[columns].values.tolist())]
     schema = "number int, name string, " + ", ".join(f"{c} {kinds[c]}" for c in columns)
-    values = [[v[0], v[1], *(int(x) if kinds[c] != "double" else float(x) for c, x in zip(columns, v[2:]))] for v in values]
+    values = [[v[0], v[1], *(casts[kinds[c]](x) for c, x in zip(columns, v[2:]))] for v in values]
     side = table.sparkSession.createDataFrame(values, schema)
     return table.join(_small(side, len(values) * 64), F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
 
 def _thresholds(table: DataFrame, plan: pd.DataFrame) -> None:
-    """Add to the plan: ``threshold`` (documents of u below it are taken once more) and ``fill``."""
-    low, gap = [0] * len(plan), plan["extra"].tolist()
-    bits = HASH_BITS
+    """Add to the plan: ``parts`` of the hash order whose fitting documents are taken once more, and
+    ``fill`` and ``gone``, documents (by u) that an exchange adds or takes away."""
+    plan["gap"] = plan["extra"]
+    parts: list[list[tuple[int, int, int]]] = [[] for _ in range(len(plan))]
+    start, going = [0] * len(plan), set(plan.index[plan["gap"] >= 1])
     work = table.where("size > 0")
+    while going:
+        # each round takes a document of every source that goes on, and usually far more
+        plan["start"], plan["cap"] = start, plan["gap"].astype("int64")
+        stop, words, blocked, equal = _descend(work, plan, sorted(going))
+        for k in list(going):
+            if k not in words:  # nothing that fits is left
+                going.discard(k)
+                continue
+            parts[k].append((start[k], stop[k], int(plan.loc[k, "cap"])))
+            plan.loc[k, "gap"] -= words[k]
+            # a single document is left out by the next cap; equal hashes are passed over as one
+            start[k] = stop[k] + (k in equal)
+            if k not in blocked or plan.loc[k, "gap"] < 1:
+                going.discard(k)
+    plan["parts"] = parts
+    plan["fill"] = [[] for _ in range(len(plan))]
+    plan["gone"] = [[] for _ in range(len(plan))]
+    _exchange(work, plan)
+
+
+def _descend(work: DataFrame, plan: pd.DataFrame, going: list[int]) -> tuple[dict[int, int], dict[int, int], set[int], set[int]]:
+    """Of each source in ``going``, over documents from its start with at most ``cap`` words: the hash
+    of the first one that the words before it leave no room for (or the end), the words before it
+    (none without documents), the sources that stopped before their end, and those of them that stopped
+    at documents of one hash."""
+    rows = plan.loc[going]
+    low, gap = dict.fromkeys(going, 0), rows["cap"].to_dict()
+    words: dict[int, int] = {}
+    open_, blocked = set(going), set()
+    bits = HASH_BITS
     for _ in range(DIGITS):
         bits -= DIGIT_BITS
-        plan["low"], plan["gap"] = low, gap
-        cell = F.shiftright(F.col("u"), bits)
-        here = _frame(work, plan[plan["gap"] > 0], ["low"]) if (plan["gap"] > 0).any() else None
-        if here is None:
-            break
+        todo = plan.loc[sorted(open_), ["source", "start", "cap"]].assign(low=[low[k] for k in sorted(open_)])
+        here = _frame(work, todo, ["start", "cap", "low"]).where("u >= start AND size <= cap")
         inside = here.where(F.shiftright("u", bits + DIGIT_BITS) == F.shiftright("low", bits + DIGIT_BITS))
-        counts = inside.groupBy("number", cell.alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-        left = 0
+        cell = F.shiftright(F.col("u"), bits).alias("cell")
+        counts = inside.groupBy("number", cell).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         for number, group in counts.toPandas().sort_values(["number", "cell"]).groupby("number"):
             # at most 2^DIGIT_BITS cells of each source
-            for c, words, n in zip(group["cell"], group["words"], group["n"]):
-                if words > gap[number]:
-                    low[number] = int(c) << bits
-                    left += n > 1
+            words.setdefault(number, 0)
+            full = False
+            for c, size, n in zip(group["cell"].tolist(), group["words"].tolist(), group["n"].tolist()):
+                if size > gap[number]:
+                    low[number], full = c << bits, n > 1
+                    if n == 1 or not bits:
+                        blocked.add(number)
                     break
-                gap[number] -= words
-                low[number] = (int(c) + 1) << bits
-            if gap[number] < 1:
-                gap[number] = 0.0
-        if not left:
-            break
-    plan["threshold"], plan["gap"] = low, gap
-    fill: list[list[int]] = [[] for _ in range(len(plan))]
-    for _ in range(FILL_ROUNDS):
-        todo = plan[(plan["gap"] >= 1)]
-        if not len(todo):
+                gap[number] -= size
+                words[number] += size
+                low[number] = (c + 1) << bits
+            if not full:  # the end, or a single document
+                open_.discard(number)
+        open_ &= set(words)
+        if not open_:
             break
-        rest = _frame(work, todo, ["threshold", "gap"]).where("u >= threshold AND size < 2 * gap")
-        used = [(int(k), u) for k in todo.index for u in fill[k]]
-        if used:
-            gone = table.sparkSession.createDataFrame(used, "number int, u long")
-            rest = rest.join(_small(gone, 32 * len(used)), ["number", "u"], "left_anti")
-        # documents that share a hash are taken together, so their words count together
-        shared = rest.groupBy("number", "u", "gap").agg(F.sum("size").alias("words")).where("words < 2 * gap")
-        miss = F.struct(F.abs(F.col("gap") - F.col("words")).alias("miss"), "u", "words")
-        best = shared.groupBy("number").agg(F.min(miss).alias("best")).collect()
-        if not best:
-            break
-        for r in best:
-            fill[r["number"]].append(r["best"]["u"])
-            plan.loc[r["number"], "gap"] -= r["best"]["words"]
-    plan["fill"] = fill
-    plan["drop"] = [[] for _ in range(len(plan))]
-    _swap(work, plan)
-
-
-def _swap(work: DataFrame, plan: pd.DataFrame) -> None:
-    """In sources of few documents, add, drop or exchange one document where that brings the taken
-    words nearer to the target; a group here has at most SMALL_SOURCE rows."""
-    todo = plan[(plan["gap"].abs() >= 1) & (plan["docs"] <= SMALL_SOURCE)]
-    if not len(todo):
-        return
-    fills = {int(k): set(f) for k, f in todo["fill"].items()}
+    return low, words, blocked, open_
+
+
+def _exchange(work: DataFrame, plan: pd.DataFrame) -> None:
+    """Add, drop or exchange one document of a source as long as that brings the taken words nearer to
+    the target. Of documents with equal word counts only one counts, so a group has fewer rows than
+    twice the square root of twice its source's words."""
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         number, gap = int(rows["number"].iloc[0]), float(rows["gap"].iloc[0])
-        rows = rows.groupby("u", as_index=False).agg({"size": "sum", "threshold": "first"})
-        taken = (rows["u"] < rows["threshold"]) | rows["u"].isin(fills.get(number, ()))
-        into = np.concatenate([[0], rows["size"][~taken].to_numpy()])
-        out = np.concatenate([[0], rows["size"][taken].to_numpy()])
-        miss = np.abs(gap - (into[:, None] - out[None, :]))
-        a, b = np.unravel_index(int(np.argmin(miss)), miss.shape)
-        add = int(rows["u"][~taken].iloc[a - 1]) if a else -1
-        drop = int(rows["u"][taken].iloc[b - 1]) if b else -1
-        return pd.DataFrame({"number": [number], "add": [add], "drop": [drop]})
-
-    rows = _frame(work, todo, ["threshold", "gap"]).select("number", "u", "size", "threshold", "gap")
-    for r in rows.groupBy("number").applyInPandas(best, "number int, add long, drop long").collect():
-        if r["add"] >= 0:
-            plan.at[r["number"], "fill"] = plan.at[r["number"], "fill"] + [r["add"]]
-        if r["drop"] >= 0:
-            fill = plan.at[r["number"], "fill"]
-            if r["drop"] in fill:
-                plan.at[r["number"], "fill"] = [u for u in fill if u != r["drop"]]
-            else:
-                plan.at[r["number"], "drop"] = [r["drop"]]
+        rows = rows.sort_values(["words", "u"])
+        taken, words, u = rows["taken"].to_numpy(bool), rows["words"].to_numpy(), rows["u"].to_numpy()
+        into, out = (np.concatenate([[0], words[k]]) for k in (~taken, taken))
+        want = np.searchsorted(into, out + gap)
+        near = np.stack([np.clip(want - 1, 0, None), np.clip(want, None, len(into) - 1)])
+        left = gap + out[None, :] - into[near]
+        side, b = np.unravel_index(int(np.argmin(np.abs(left))), left.shape)
+        a = near[side, b]
+        add = int(u[~taken][a - 1]) if a else -1
+        drop = int(u[taken][b - 1]) if b else -1
+        return pd.DataFrame({"number": [number], "add": [add], "drop": [drop], "left": [float(left[side, b])]})
+
+    going = set(plan.index)
+    while len(todo := plan[(plan["gap"].abs() >= 1) & plan.index.isin(going)]):
+        rows = _frame(work, todo, ["gap", "parts", "fill", "gone"]).select("number", "gap", "u", "size", _once().alias("taken"))
+        shared = rows.groupBy("number", "gap", "u").agg(F.sum("size").alias("words"), F.max("taken").alias("taken"))
+        sizes = shared.groupBy("number", "gap", "words", "taken").agg(F.min("u").alias("u"))
+        found = sizes.groupBy("number").applyInPandas(best, "number int, add long, drop long, left double").collect()
+        going = set()
+        for r in found:
+            k = r["number"]
+            if abs(r["left"]) >= abs(plan.loc[k, "gap"]):
+                continue
+            going.add(k)
+            plan.loc[k, "gap"] = r["left"]
+            for u, into, out in ((r["add"], "fill", "gone"), (r["drop"], "gone", "fill")):
+                if u in plan.at[k, out]:
+                    plan.at[k, out] = [x for x in plan.at[k, out] if x != u]
+                elif u >= 0:
+                    plan.at[k, into] = [*plan.at[k, into], u]
+
+
+def _once():
+    """Whether a row with u, size and its source's parts, fill and gone is taken once more."""
+    inside = F.exists("parts", lambda p: (F.col("u") >= p["start"]) & (F.col("u") < p["stop"]) & (F.col("size") <= p["cap"]))
+    return (inside & ~F.array_contains("gone", F.col("u"))) | F.array_contains("fill", F.col("u"))
 
 
 def mix_sources(
@@ -273,33 +300,37 @@ def mix_sources(
     # blocks: 2^k equal hash ranges; copies of blocks are numbered epoch by epoch
     plan["k"] = [max(0, int(np.ceil(np.log2(max(1, d / DOCS_PER_BLOCK))))) for d in plan["docs"]]
     blocks = 1 << plan["k"].to_numpy(np.int64)
+    plan["threshold"] = [p[0][1] if p else 0 for p in plan["parts"]]
     cut = np.array([-(-t // (1 << (HASH_BITS - k))) for t, k in zip(plan["threshold"], plan["k"])], np.int64)
-    # one copy more for the documents that fill the gap
-    quotas = plan["whole"].to_numpy(np.int64) * blocks + cut + np.array([len(f) > 0 for f in plan["fill"]], np.int64)
+    quotas = plan["whole"].to_numpy(np.int64) * blocks + cut
+    quotas = np.maximum(quotas, np.array([len(f) > 0 for f in plan["fill"]], np.int64))
     counts = splitting_tree(quotas, shards, seed) if len(plan) else np.zeros((shards, 0), np.int64)
     ends = np.cumsum(counts, axis=0).T  # of each source: block copies up to each shard
     side = [
-        (s, int(z), float(t), int(w), int(h), [int(x) for x in f], [int(x) for x in d], int(k), int(b), [int(x) for x in e])
-        for s, z, t, w, h, f, d, k, b, e in zip(
-            plan["source"], plan["size"], plan["target"], plan["whole"], plan["threshold"], plan["fill"], plan["drop"],
-            plan["k"], blocks, ends,
+        (s, int(z), float(t), int(w), int(h), p, f, d, int(k), int(b), [int(x) for x in e])
+        for s, z, t, w, h, p, f, d, k, b, e in zip(
+            plan["source"], plan["size"], plan["target"], plan["whole"], plan["threshold"], plan["parts"], plan["fill"],
+            plan["gone"], plan["k"], blocks, ends,
         )
     ]
     schema = (
-        "name string, source_size long, target double, whole int, threshold long, fill array<long>, gone array<long>, "
+        "name string, source_size long, target double, whole int, threshold long, "
+        f"parts {PARTS}, fill array<long>, gone array<long>, "
         "k int, blocks long, "
         "ends array<long>"
     )
     plan_rows = docs.sparkSession.createDataFrame(side, schema)
-    joined = whole.join(_small(plan_rows, len(side) * (128 + 8 * shards)), F.col("source").eqNullSafe(F.col("name")))
-    below = (F.col("u") < F.col("threshold")) & ~F.array_contains("gone", F.col("u"))
-    filled = ~below & F.array_contains("fill", F.col("u"))
-    times = F.col("whole") + (below | filled).cast("int")
+    joined = whole.join(_small(plan_rows, sum(256 + 8 * shards + 24 * len(r[5]) for r in side)), F.col("source").eqNullSafe(F.col("name")))
+    added = F.array_contains("fill", F.col("u"))
+    times = F.col("whole") + _once().cast("int")
     block = F.expr(f"shiftrightunsigned(u, {HASH_BITS} - k)")
-    last = F.expr("element_at(ends, -1) - 1")  # the filling copy is the last one
+    all_blocks = F.expr("element_at(ends, -1)")
+    beyond = (F.col("u") >= F.col("threshold")) | added
 
     def place(epoch):
-        number = F.when(filled & (epoch == F.col("whole")), last).otherwise(epoch.cast("long") * F.col("blocks") + block)
+        number = F.when(
+            beyond & (epoch == F.col("whole")), F.pmod(F.xxhash64(F.lit(seed + 2), "u"), all_blocks)
+        ).otherwise(epoch.cast("long") * F.col("blocks") + block)
         shard = F.size(F.filter("ends", lambda e: e <= number))
         return F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "u", epoch).alias("position"))
 

@@ -69,3 +69,18 @@ def test_empty_and_clash(spark):
     assert mixing.mix_sources(empty).collect() == []
     with pytest.raises(ValueError):
         mixing.mix_sources(empty.selectExpr("*", "1 AS size"))
+
+
+def test_a_very_long_document_leaves_no_gap(spark):
+    """At the threshold of a source of more than 2000 documents, where many short ones still fit."""
+    for seed in range(4):
+        rows = [(k, "w " * (90 + k % 21), "s") for k in range(2400)] + [(9000 + k, "w " * 60_000, "s") for k in range(3)]
+        rows += [(k + 10_000, "v " * 50, "t") for k in range(2100)] + [(k + 10_000, "v " * 50, "t") for k in range(2)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.mix_sources(docs, weights=(1, 1), share=0.3, seed=seed).select("source", "size", "target", "taken", "copies").collect()
+        for s, most in (("s", 1), ("t", 25)):
+            own = [r for r in got if r["source"] == s]
+            assert all(len(r["copies"]) * r["size"] == r["taken"] for r in own)
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= most
+        shards = np.bincount([c["shard"] for r in got for c in r["copies"]], minlength=16)
+        assert len(shards) == 16 and shards.min() > 0
