@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,28 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Most rows in a batch of texts that Python gets at once.
-TEXT_BATCH_ROWS = 1024
+#: Most rows, and bytes, in a batch of texts that Python gets at once.
+TEXT_BATCH_ROWS = 512
+TEXT_BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to TEXT_BATCH_ROWS rows if they are larger.
+    """Lower the session's Arrow batches to TEXT_BATCH_ROWS rows and TEXT_BATCH_BYTES if they are larger.
 
-    The default of 10,000 rows would hold 10,000 long texts in memory several times over.
+    The default of 10,000 rows would hold 10,000 long texts in memory several times over. The
+    settings are read when a plan runs, so they stay lowered.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", TEXT_BATCH_ROWS), ("maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def release_memory() -> None:
+    """Hand memory that Python, Arrow and the C library keep back to the system.
+
+    Called at the end of a partition: workers stay alive between stages and would hold it.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where that is unset (single-machine tests) a local temporary folder becomes the
-    checkpoint folder.
+    Only where that is unset and the master is local (tests on one machine) a local temporary folder
+    becomes the checkpoint folder; on a cluster that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="coldlake-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/coldlake/{label}-{uuid.uuid4().hex}"
@@ -105,5 +127,7 @@ def map_groups(
                 held.append({c: v[begin:end] for c, v in columns.items()})
         if current is not None:
             yield from function(current, whole())
+        held.clear()
+        release_memory()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

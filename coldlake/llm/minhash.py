@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFr
     """node, n and hashes of the wanted nodes (id, digest, node), from one text of each."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     h = F.xxhash64(F.coalesce(F.col("id"), F.lit(0)))
-    bloom = exact.repeated_filter(wanted.select(h.alias("h")), n_wanted, least=1)
+    bloom = exact.key_filter(wanted.select(h.alias("h")), n_wanted)
     some = exact.flag_repeated(rows.withColumn("h", h), "h", bloom, "hit").where("hit").select("id", "text")
     ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
     some = some.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
@@ -310,7 +310,7 @@ def drop_near_duplicates(
     columns = docs.columns
     h = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     of_gone = F.xxhash64(F.coalesce(F.col("gone_id"), F.lit(0)))
-    bloom = exact.repeated_filter(gone.select(of_gone.alias("h")), gone.count(), least=1)
+    bloom = exact.key_filter(gone.select(of_gone.alias("h")), gone.count())
     rows = docs.select(F.struct(*columns).alias("row"), h.alias("h"), F.col(id_col).alias("row_id"))
     flagged = exact.flag_repeated(rows, "h", bloom, "hit")
     suspects = flagged.where("hit").join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")), "left_anti")

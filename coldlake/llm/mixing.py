@@ -4,29 +4,34 @@ Targets. Sources in code-point order (null last) get the given weights in turn a
 ``share`` times all words by weight. No target exceeds ``epochs`` times its source's words; the
 excess is shared anew by weight among the others until no target does.
 
-Blocks. A source's documents are ordered by a hash of id and text, which permutes them, and cut at
-equal hash ranges into 2^k blocks. A source is taken whole as often as its target allows, and for
-the rest in that order, skipping each document with more words than are still wanted, down to the end
-of the order; so less is wanting than any document left out holds. The places are found in rounds:
-the hash is descended digit by digit with one small aggregation each to the first document that does
-not fit, and the next round starts behind it with the documents that fit the smaller gap. At last one
-document at a time is added, dropped or exchanged for another as long as that comes nearer. The rule is the same for
-sources of any size.
-
-Splitting tree. The exact numbers of block copies of all sources are partitioned among the output
-shards: a node's counts are drawn for its left half by a multivariate hypergeometric distribution and
-the rest goes right, down to single shards. Shards draw disjoint runs of each source's permuted
-blocks, and order their documents by a hash. Documents taken behind the first one skipped join the
-source's blocks by hash.
+Blocks. A source's documents are ordered by a seeded hash of id and text, which permutes them, and
+cut at equal hash ranges into 2^k blocks. Its quota of block copies is exact: all blocks as often as
+its target allows whole, and once more those up to the last one that the rest of the target reaches.
+Of these last blocks the documents that go on fit into what is still wanted: in hash order, skipping
+each document with more words than that, down to the end of the order; so less is wanting than any
+document left out holds. The places are found in rounds: the hash is descended digit by digit with
+one small aggregation each to the first document that does not fit, and the next round starts behind
+it with the documents that fit the smaller gap. At last one document at a time is added, dropped or
+exchanged for another as long as that comes nearer. The rule is the same for sources of any size.
+
+Splitting tree. The quotas of all sources are partitioned among the output shards: a node's counts
+are drawn for its left half by a multivariate hypergeometric distribution and the rest goes right,
+down to single shards. A source's block copies are numbered in a seeded permuted order, of which
+shards draw disjoint runs as long as their counts. What a shard draws is what the mix takes: a
+document's ``taken`` words are its size times the drawn copies that hold it. Shards order their
+documents by a hash.
 
 The driver holds one row for each source and, for the tree, sources x shards counts; sources are
 names of corpora, so both are small, and ``max_sources`` guards the first. All draws are seeded:
-reruns agree. Null texts have size 0. Rows that share id and text are taken alike. Other columns
-pass through.
+reruns agree. Null texts have size 0 and travel with their blocks; an empty table gives an empty
+mix; long texts are counted whole. Rows that share id and text are taken alike. Other columns pass
+through; result columns replace columns of their name.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,7 +42,10 @@ from coldlake.llm.common import BROADCAST_LIMIT_BYTES, free_name, materialise
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 DIGIT_BITS = 8
 DIGITS = 7  # of the 63-bit hash that are descended; ties beyond are taken together
+#: Documents in a block on average; doubled until all quotas together stay below MAX_QUOTAS, the
+#: range in which hypergeometric draws are exact.
 DOCS_PER_BLOCK = 64
+MAX_QUOTAS = 1 << 29
 MAX_SOURCES = 1_000_000
 HASH_BITS = 56
 #: Of a source: documents of u from start to below stop with at most cap words are taken once more.
@@ -77,7 +85,7 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
         taken, rest = np.zeros_like(counts), int(counts.sum())
         for k, c in enumerate(counts.tolist()):  # conditional hypergeometric draws
             rest -= c
-            got = n if rest == 0 else 0 if c == 0 or n == 0 else _hypergeometric(random, c, rest, n)
+            got = n if rest == 0 else 0 if c == 0 or n == 0 else int(random.hypergeometric(c, rest, n))
             taken[k] = got
             n -= got
         return taken
@@ -95,14 +103,6 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _hypergeometric(random: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 1_000_000_000:
-        return int(random.hypergeometric(good, bad, n))
-    mean = n * good / (good + bad)  # the library's limit: a rounded normal draw with the same moments
-    spread = np.sqrt(mean * (bad / (good + bad)) * ((good + bad - n) / max(1, good + bad - 1)))
-    return int(np.clip(round(random.normal(mean, spread)), max(0, n - bad), min(good, n)))
-
-
 def plan_mix(
     docs: DataFrame,
     weights: tuple[float, ...],
@@ -267,6 +267,52 @@ def _once():
     return (inside & ~F.array_contains("gone", F.col("u"))) | F.array_contains("fill", F.col("u"))
 
 
+def _quotas(plan: pd.DataFrame) -> np.ndarray:
+    """Exact block copies of each source; adds to the plan k, for 2^k blocks, and their number."""
+    size = DOCS_PER_BLOCK
+    while True:
+        plan["k"] = [max(0, math.ceil(math.log2(max(1, d / size)))) for d in plan["docs"]]
+        plan["blocks"] = [1 << k for k in plan["k"]]
+        out = []
+        for whole, k, blocks, parts, fill in zip(plan["whole"], plan["k"], plan["blocks"], plan["parts"], plan["fill"]):
+            # the first place behind all documents of the last epoch
+            end = max([min(p[1], 1 << HASH_BITS) for p in parts if p[1] > p[0]] + [u + 1 for u in fill], default=0)
+            out.append(whole * blocks + -(-end // (1 << (HASH_BITS - k))))
+        if sum(out) < MAX_QUOTAS or not any(plan["k"]):
+            return np.array(out, np.int64)
+        size *= 2
+
+
+def _permutation(quota: int, seed: int) -> tuple[int, int]:
+    """Factor and shift that permute the numbers below ``quota``."""
+    random = np.random.default_rng([seed, quota])
+    factor = int(random.integers(1, max(2, quota)))
+    while math.gcd(factor, quota) != 1:
+        factor += 1
+    return factor, int(random.integers(0, max(1, quota)))
+
+
+def _copies(shards: int, seed: int):
+    """Of a row with u, size and its source's plan: (shard, position) of the drawn copies that hold it."""
+
+    def place(epoch):
+        number = epoch.cast("long") * F.col("blocks") + F.expr(f"shiftrightunsigned(u, {HASH_BITS} - k)")
+        drawn = F.pmod(number * F.col("factor") + F.col("shift"), F.greatest("quota", F.lit(1)))
+        shard = F.size(F.filter("ends", lambda e: e <= drawn))
+        # a number beyond the quota is no block copy
+        shard = F.when(number < F.col("quota"), shard).otherwise(F.lit(shards))
+        return F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "u", epoch).alias("position"))
+
+    times = F.col("whole") + _once().cast("int")
+    all_copies = F.transform(F.sequence(F.lit(0), times - 1), place)
+    drawn = F.filter(all_copies, lambda c: c["shard"] < shards)
+    return F.when(times > 0, drawn).otherwise(F.array().cast(COPIES))
+
+
+COPIES = "array<struct<shard:int,position:bigint>>"
+RESULT_COLUMNS = ("size", "source_size", "target", "taken", "copies")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -282,77 +328,49 @@ def mix_sources(
     """All rows of ``docs`` with size, source_size, target, taken and copies.
 
     ``copies`` is an array of (shard, position): where the row's copies go in the mix, none if it is
-    not taken. ``position`` orders a shard's documents. Result columns must not clash.
+    not taken. ``position`` orders a shard's documents.
     """
-    names = ("size", "source_size", "target", "taken", "copies")
-    clash = {c.lower() for c in docs.columns} & set(names)
-    if clash:
-        raise ValueError(f"docs has columns {sorted(clash)}; rename them first")
     _, plan = plan_mix(docs, weights, share, epochs, id_col, text_col, source_col, seed, max_sources)
-    row = free_name(docs, "row")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.select(
-        F.struct(*docs.columns).alias(row),
-        F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text), 64 - HASH_BITS).alias("u"),
-    )
-    # blocks: 2^k equal hash ranges; copies of blocks are numbered epoch by epoch
-    plan["k"] = [max(0, int(np.ceil(np.log2(max(1, d / DOCS_PER_BLOCK))))) for d in plan["docs"]]
-    blocks = 1 << plan["k"].to_numpy(np.int64)
-    plan["threshold"] = [p[0][1] if p else 0 for p in plan["parts"]]
-    cut = np.array([-(-t // (1 << (HASH_BITS - k))) for t, k in zip(plan["threshold"], plan["k"])], np.int64)
-    quotas = plan["whole"].to_numpy(np.int64) * blocks + cut
-    quotas = np.maximum(quotas, np.array([len(f) > 0 for f in plan["fill"]], np.int64))
+    quotas = _quotas(plan) if len(plan) else np.zeros(0, np.int64)
     counts = splitting_tree(quotas, shards, seed) if len(plan) else np.zeros((shards, 0), np.int64)
     ends = np.cumsum(counts, axis=0).T  # of each source: block copies up to each shard
-    side = [
-        (s, int(z), float(t), int(w), int(h), p, f, d, int(k), int(b), [int(x) for x in e])
-        for s, z, t, w, h, p, f, d, k, b, e in zip(
-            plan["source"], plan["size"], plan["target"], plan["whole"], plan["threshold"], plan["parts"], plan["fill"],
-            plan["gone"], plan["k"], blocks, ends,
-        )
-    ]
+    side = []
+    for k, (quota, end) in enumerate(zip(quotas.tolist(), ends.tolist())):
+        p = plan.loc[k]
+        factor, shift = _permutation(quota, seed + k)
+        head = (p["source"], int(p["size"]), float(p["target"]), int(p["whole"]), p["parts"], p["fill"], p["gone"])
+        side.append((*head, int(p["k"]), int(p["blocks"]), quota, factor, shift, end))
     schema = (
-        "name string, source_size long, target double, whole int, threshold long, "
-        f"parts {PARTS}, fill array<long>, gone array<long>, "
-        "k int, blocks long, "
-        "ends array<long>"
+        f"name string, source_size long, target double, whole int, parts {PARTS}, fill array<long>, gone array<long>, "
+        "k int, blocks long, quota long, factor long, shift long, ends array<long>"
     )
-    plan_rows = docs.sparkSession.createDataFrame(side, schema)
-    joined = whole.join(_small(plan_rows, sum(256 + 8 * shards + 24 * len(r[5]) for r in side)), F.col("source").eqNullSafe(F.col("name")))
-    added = F.array_contains("fill", F.col("u"))
-    times = F.col("whole") + _once().cast("int")
-    block = F.expr(f"shiftrightunsigned(u, {HASH_BITS} - k)")
-    all_blocks = F.expr("element_at(ends, -1)")
-    beyond = (F.col("u") >= F.col("threshold")) | added
-
-    def place(epoch):
-        number = F.when(
-            beyond & (epoch == F.col("whole")), F.pmod(F.xxhash64(F.lit(seed + 2), "u"), all_blocks)
-        ).otherwise(epoch.cast("long") * F.col("blocks") + block)
-        shard = F.size(F.filter("ends", lambda e: e <= number))
-        return F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "u", epoch).alias("position"))
-
-    copies = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), place)).otherwise(F.array().cast("array<struct<shard:int,position:bigint>>"))
-    return joined.select(
-        f"{row}.*", "size", "source_size", "target", (F.col("size") * times).alias("taken"), copies.alias("copies")
+    names = [f.split()[0] for f in schema.split(", ")]
+    plan_rows = _small(docs.sparkSession.createDataFrame(side, schema), sum(256 + 8 * shards + 24 * len(r[4]) for r in side))
+    keep = [c for c in docs.columns if c.lower() not in RESULT_COLUMNS]
+    # columns of docs keep clear of the plan's names
+    safe = {c: free_name(docs, f"kept{n}") for n, c in enumerate(keep)}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.select(
+        *[F.col(f"`{c}`").alias(safe[c]) for c in keep],
+        F.col(source_col).alias("from"),
+        word_count(F.col(text_col)).alias("size"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text), 64 - HASH_BITS).alias("u"),
     )
+    joined = whole.join(plan_rows.toDF(*names), F.col("from").eqNullSafe(F.col("name")))
+    placed = joined.withColumn("copies", _copies(shards, seed))
+    taken = (F.col("size") * F.size("copies")).alias("taken")
+    return placed.select(*[F.col(safe[c]).alias(c) for c in keep], "size", "source_size", "target", taken, "copies")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each copy, with the columns of ``docs``, dealt to shards and shuffled."""
-    columns = docs.columns
     shards = options.get("shards", 16)
-    row, copy = "row", "copy"
-    whole = docs.select(
-        F.col(options.get("id_col", "doc_id")).alias("doc_id"),
-        F.col(options.get("text_col", "text")).alias("text"),
-        F.col(options.get("source_col", "source")).alias("source"),
-        F.struct(*columns).alias(row),
-    )
-    plain = {k: v for k, v in options.items() if k not in ("id_col", "text_col", "source_col")}
-    mixed = mix_sources(whole, **plain).select(row, F.explode("copies").alias(copy))
-    spread = mixed.select(row, F.col("copy.shard").alias("shard"), F.col("copy.position").alias("position"))
-    dealt = spread.repartition(shards, "shard").sortWithinPartitions("shard", "position")
-    return dealt.select(f"{row}.*").select(*columns)
+    safe = [f"column{k}" for k in range(len(docs.columns))]
+    names = dict(zip(docs.columns, safe))
+    plain = docs.toDF(*safe)
+    for key, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")):
+        options[key] = names[options.get(key, default)]
+    mixed = mix_sources(plain, **options).select(*safe, F.explode("copies").alias("copy"))
+    spread = mixed.select(*safe, F.col("copy.shard").alias("shard"), F.col("copy.position").alias("position"))
+    dealt = spread.repartitionById(shards, F.col("shard")).sortWithinPartitions("position")
+    return dealt.select(*[F.col(c).alias(name) for name, c in names.items()])

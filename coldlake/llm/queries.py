@@ -108,13 +108,14 @@ def op10_minhash_dedup(spark, sf_dir):
 def op4_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = substring.remove_repeats(docs)
-    return done.select("doc_id", "n_units", "removed", "removed_words", F.col("kept_text").alias("text"))
+    return done.select("doc_id", "removed", "removed_words", F.col("kept_text").alias("text"))
 
 
 @_query("op5_mixing")
 def op5_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix_sources(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("copies.shard").alias("shards"))
 
 
 @_query("op7_html_extract")

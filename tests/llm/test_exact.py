@@ -1,9 +1,10 @@
-"""Exact dedup: groups, ties, hot groups, and the path without a filter."""
+"""Exact dedup: groups, ties, hot groups, and filters too large to broadcast."""
 
 import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from coldlake.llm import exact
 
@@ -43,14 +44,26 @@ def test_groups(spark, filter_bytes):
 
 @pytest.mark.parametrize("filter_bytes", [64 << 20, 1])
 def test_documents_keep_their_columns(spark, filter_bytes):
-    rows = [(i, t, True, k, "bloom") for k, (i, t) in enumerate(ROWS)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, repeated boolean, h int, sha string").repartition(3)
+    rows = [(i, t, True, k, "bloom", 1, [2]) for k, (i, t) in enumerate(ROWS)]
+    schema = "doc_id long, text string, repeated boolean, h int, sha string, repeated_block int, repeated__words array<int>"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
     got = exact.drop_duplicates(docs, max_filter_bytes=filter_bytes)
     assert got.columns == docs.columns
     want = sorted(str(max((i for i in ids if i is not None), default=None)) for ids in expected(ROWS).values())
     assert sorted(str(r["doc_id"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("filter_bytes", [64 << 20, 1])
+def test_filter_flags_all_repeated_and_few_others(spark, filter_bytes):
+    hashes = spark.range(40_000).select(F.xxhash64(F.when(F.col("id") % 10 == 0, F.col("id") % 4000).otherwise(F.col("id"))).alias("h"), "id")
+    bloom = exact.repeated_filter(hashes.select("h"), 40_000, filter_bytes)
+    assert bloom.broadcast == (filter_bytes > 1)
+    flagged = exact.flag_repeated(hashes, "h", bloom, "hit").groupBy(F.col("id") % 10 == 0, "hit").count().collect()
+    counts = {(r[0], r["hit"]): r["count"] for r in flagged}
+    assert counts[True, True] == 4000 and (True, False) not in counts
+    assert counts[False, True] < 0.08 * 36_000
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact.duplicate_groups(docs).collect() == []

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coldlake.llm import mixing
 
@@ -67,8 +68,62 @@ def test_documents(spark):
 def test_empty_and_clash(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sources(empty).collect() == []
-    with pytest.raises(ValueError):
-        mixing.mix_sources(empty.selectExpr("*", "1 AS size"))
+    names = ["size", "taken", "whole", "blocks", "u", "from", "name", "kept0", "copy", "column0"]
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "c", "s")], "doc_id long, text string, source string")
+    wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    got = mixing.mix_sources(wide)
+    assert sorted(got.columns) == sorted({*wide.columns, *mixing.RESULT_COLUMNS})
+    assert {(r["doc_id"], r["size"], r["whole"], r["column0"]) for r in got.collect()} == {(1, 2, 2, 9), (2, 1, 2, 9)}
+    assert mixing.mixed_documents(wide).columns == wide.columns
+
+
+def greedy(docs, gap):
+    """Ids of the (u, size, id) taken once more, in hash order, skipping what does not fit."""
+    out = set()
+    for _, size, i in sorted(docs):
+        if 0 < size <= gap and gap >= 1:
+            out.add(i)
+            gap -= size
+    return out, gap
+
+
+def test_against_brute_force(spark):
+    """Documents of distinct sizes of two sources: the greedy rule, then no single exchange that helps."""
+    draw = np.random.default_rng(3)
+    for seed in (1, 2):
+        rows = [(k, "w " * int(draw.integers(1, 400)), f"s{k % 2}") for k in range(160)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        u = {r[0]: r[1] for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 64 - mixing.HASH_BITS)).collect()}
+        got = {r["doc_id"]: r for r in mixing.mix_sources(docs, weights=(3, 2), share=0.7, seed=seed).collect()}
+        for s in ("s0", "s1"):
+            own = [(u[i], len(t.split()), i) for i, t, x in rows if x == s]
+            total = sum(n for _, n, _ in own)
+            target = got[own[0][2]]["target"]
+            whole = int(target // total)
+            wanted, gap = greedy(own, target - whole * total)
+            taken = {i for _, n, i in own if got[i]["taken"] == (whole + 1) * n}
+            assert all(got[i]["taken"] in (whole * n, (whole + 1) * n) for _, n, i in own)
+            left = target - sum(got[i]["taken"] for _, _, i in own)
+            if gap < 1:
+                assert taken == wanted
+            assert abs(left) <= abs(gap) and len(taken ^ wanted) <= 8
+            into, out = [0, *(n for _, n, i in own if i not in taken)], [0, *(n for _, n, i in own if i in taken)]
+            assert abs(left) < 1 or min(abs(left - a + b) for a in into for b in out) >= abs(left) - 1e-6
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    docs, rows = odd_docs(spark)
+    key = lambda frame: sorted((str(r["doc_id"]), str(r["text"])[:9], r["taken"]) for r in frame.collect())
+    assert key(mixing.mix_sources(docs, share=0.5, seed=1)) != key(mixing.mix_sources(docs, share=0.5, seed=2))
+    drawn = mixing.mix_sources(docs).collect()
+    shards = np.bincount([c["shard"] for r in drawn for c in r["copies"]], minlength=16)
+    assert shards.min() > 0
+    whole = mixing.splitting_tree
+    # a tree that gives the first shards nothing, and one that gives none anything
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, s: np.concatenate([np.zeros((n // 2, len(q)), np.int64), whole(q, n - n // 2, s)]))
+    assert all(c["shard"] >= 8 for r in mixing.mix_sources(docs).collect() for c in r["copies"])
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, s: np.zeros((n, len(q)), np.int64))
+    assert {r["taken"] for r in mixing.mix_sources(docs).collect()} == {0}
 
 
 def test_a_very_long_document_leaves_no_gap(spark):
