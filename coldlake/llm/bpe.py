@@ -12,10 +12,14 @@ Encoding has three steps.
 3. Ids and blocks meet by block number (the bucketed side is not shuffled) and every document is put
    together by position.
 
-Decoding looks ids up in the token-byte table, which has the fixed size of the vocabulary.
-
-Null and empty texts give no ids. Every other column of the input passes through; the ids column
-must not clash with one. Document order is not defined; repeated rows stay repeated.
+Decoding joins every id with the token-byte table. The table has the fixed size of the vocabulary, so
+it is broadcast, and the join is done batch by batch as one gather: as rows, a gigabyte of text would
+be 250 million ids that a shuffle would have to bring back into their order.
+
+Null and empty texts give no ids, an empty table gives an empty result, and texts are read whole: a
+document longer than a block is a block of its own. Every other column of the input passes through;
+result columns replace columns of their name. Document order is not defined; repeated rows stay
+repeated.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldlake.llm.common import bound_batches, scratch_path
+from coldlake.llm.common import bound_batches, release_memory, scratch_path
 
 #: Characters of text in a block, unless one document is longer.
 BLOCK_CHARS = 6 << 20
@@ -152,6 +156,7 @@ def _make_blocks(text_name: str, pattern: str, slices: int, block_chars: int):
             if begin < len(batch):
                 rows.append(kept.slice(begin))
         yield from flush()
+        release_memory()
 
     return run
 
@@ -182,6 +187,8 @@ def _merge_words(ranks, pattern: str):
                 [pa.array(columns[0], pa.int64()), numbers, pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
                 ["block", "numbers", "counts", "ids"],
             )
+        current, known = None, {}
+        release_memory()
 
     return run
 
@@ -237,9 +244,8 @@ def encode(
     ``slices``: into how many parts the distinct words are dealt; by default as many as shuffle
     partitions, which follow the input's size.
     """
-    if ids_col.lower() in {c.lower() for c in docs.columns if c != text_col}:
-        raise ValueError(f"docs has a column {ids_col!r}; name another for the ids")
     spark = docs.sparkSession
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != ids_col.lower() or c == text_col])
     bound_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = slices or buckets
@@ -249,10 +255,11 @@ def encode(
     writer = blocks.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block")
     writer.format("parquet").saveAsTable(name)
     table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and ``table`` knows them and their buckets
 
     words = table.where("slice >= 0").select("block", "slice", "lengths", "codes", "words")
     merged = (
-        words.repartition("slice")
+        words.repartitionById(slices, F.col("slice"))
         .sortWithinPartitions("slice")
         .mapInArrow(_merge_words(ranks, pattern), "block long, numbers binary, counts binary, ids binary")
         .groupBy("block")
@@ -269,6 +276,7 @@ def decode(tokens: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col: s
     """``tokens`` with the decoded bytes as binary column ``bytes_col``; null ids count as none."""
     spark = tokens.sparkSession
     bound_batches(spark)
+    tokens = tokens.select(*[F.col(f"`{c}`") for c in tokens.columns if c.lower() != bytes_col.lower()])
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +296,7 @@ def decode(tokens: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col: s
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, bytes_col]
             )
+        release_memory()
 
     schema = T.StructType([*tokens.schema.fields, T.StructField(bytes_col, T.BinaryType())])
     return tokens.mapInArrow(run, schema)

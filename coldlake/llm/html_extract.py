@@ -11,14 +11,22 @@
    with that path. A page without such a container, or with an empty one, falls back on its own
    candidate.
 
-Boilerplate containers (menus, headers and footers of the page, sidebars, notices, adverts, forms,
-reader comments) are left out by tag, role and class wherever they stand; scripts, styles and markup
-never count as text. Character references are decoded. Inside a block white space becomes one space;
-blocks are trimmed, empty ones dropped, and the rest joined by a newline in page order.
-
-Winners are broadcast while their table is small, checked by its number of hosts, and otherwise
-joined by a shuffle. A null or empty page has an empty text; a null or odd url shares the host ``''``.
-Other columns pass through; result columns replace columns of their name.
+Boilerplate (menus, headers and footers of the page, sidebars, notices, adverts, forms, reader
+comments) is left out wherever it stands; scripts, styles and markup never count as text. Tags, roles
+and class names that can mean nothing else are certain. Names that can (``share``, ``side``, ``ad``)
+are only a suspicion: as a whole name it holds unless nearly all of the page's text outside links
+stands in such containers, and half in this one; as a part of a longer name (``share-price-report``) only where links or a few
+characters are all that stands in it. The host's vote overrules suspicions: containers on its path
+are never left out by their names.
+
+Character references are decoded. Inside a block white space becomes one space; blocks are trimmed,
+empty ones dropped, and the rest joined by a newline in page order.
+
+Winners are broadcast up to a checked size in bytes and otherwise joined by a shuffle with each
+winner given ``SALTS`` times, so that no task receives a hot host. A null or empty page has an empty
+text, whatever its length a page is read whole, in memory in proportion to it; a null or odd url
+shares the host ``''``; repeated rows vote once each and are extracted alike; an empty table gives an
+empty result. Other columns pass through; result columns replace columns of their name.
 """
 
 from __future__ import annotations
@@ -32,14 +40,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import ascii_lower, bound_batches, free_name, materialise
+from coldlake.llm.common import BROADCAST_LIMIT_BYTES, ascii_lower, bound_batches, free_name, materialise, release_memory
 
-#: Hosts up to which the winners (about 200 bytes each) are broadcast.
-BROADCAST_HOSTS = 100_000
+#: Copies of a winner, by task of the pages, where winners are joined by a shuffle.
+SALTS = 32
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|iframe|svg|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|iframe|svg|select|object)\b[^>]*(?<!/)>.*?(?:</\2\s*>|\Z)"
     r"|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
     r"|<[/!?][^>]*>"
     r"|[^<]+"
@@ -61,24 +70,45 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 dt".split())
 _BOILER_TAGS = frozenset("nav footer aside form dialog menu button fieldset search".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar note toolbar".split())
-_BOILER_WORDS = frozenset(
-    "ad ads adv banner nav menu menus header masthead footer foot sidebar side rail promo popup modal overlay alert "
-    "consent gdpr signup login share sharing social related recommended widget toolbar pagination pager reply replies "
-    "respond disqus reactions skip toc outbrain taboola form search hidden teaser".split()
+#: Parts of names of containers that hold no article text, and those that may also mean something else.
+_SURE_WORDS = frozenset(
+    "nav menu menus footer foot masthead sidebar gdpr consent pagination pager toolbar replies respond disqus outbrain taboola toc signup".split()
 )
-_BOILER_STARTS = (
+_SURE_STARTS = (
     "advert", "sidebar", "comment", "cookie", "navi", "navbar", "menu", "footer", "promo", "sponsor", "newsletter",
-    "breadcrumb", "notice", "notif", "subscri", "disclaimer",
+    "breadcrumb", "subscri", "disclaimer",
 )
+_MAYBE_WORDS = frozenset(
+    "ad ads adv banner header side rail popup modal overlay alert login share sharing social related recommended widget "
+    "reply reactions skip form search hidden teaser".split()
+)
+_MAYBE_STARTS = ("notice", "notif")
+#: Parts of names that say where or how a container stands, not what is in it.
+_PLAIN_WORDS = frozenset(
+    "site page main global primary secondary top bottom left right head body box wrap wrapper container content block area "
+    "section region zone list item items bar inner outer unit slot col column row group panel button buttons link links post "
+    "posts article articles entry blog user users reader readers js c m l the of and".split()
+)
+_FEW = 40  # characters outside links
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+#: How sure it is that a container is boilerplate.
+NO, PART, NAME, SURE = range(4)
+
+
+@dataclass(slots=True)
 class Node:
     parent: int
-    path: str
-    boiler: bool
+    #: Number of the generalised path among the page's paths.
+    path: int
+    tag: str
+    doubt: int
+    in_article: bool
+    boiler: bool = False
+    chars: int = 0
+    free: int = 0
     good: float = 0.0
     #: Whether good text stands in it outside its children.
     own: bool = False
@@ -94,36 +124,42 @@ def _attributes(tag: str) -> dict[str, str]:
     return out
 
 
-def _is_boiler(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if tag in _BOILER_TAGS or (tag == "header" and not in_article):
-        return True
+def _doubt(tag: str, attributes: dict[str, str], in_article: bool) -> int:
+    if tag in _BOILER_TAGS and tag != "form" or (tag == "header" and not in_article):
+        return SURE
     if not attributes:
-        return False
+        return NAME if tag == "form" else NO
     if attributes.get("role", "").lower() in _BOILER_ROLES or attributes.get("aria-hidden") == "true":
-        return True
+        return SURE
     if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return SURE
     if tag in ("body", "article", "main"):
-        return False
-    names = _CAMEL.sub("-", attributes.get("class", "") + " " + attributes.get("id", "")).lower()
-    for word in _WORDS.findall(names):
-        if word == "header" and in_article:
+        return NO
+    found = NAME if tag == "form" else NO
+    for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        words = _WORDS.findall(_CAMEL.sub("-", name).lower())
+        sure = [w in _SURE_WORDS or w.startswith(_SURE_STARTS) for w in words]
+        maybe = [(w in _MAYBE_WORDS or w.startswith(_MAYBE_STARTS)) and not (w == "header" and in_article) for w in words]
+        if not any(sure) and not any(maybe):
             continue
-        if word in _BOILER_WORDS or word.startswith(_BOILER_STARTS):
-            return True
-    return False
+        plain = all(x or y or w in _PLAIN_WORDS for x, y, w in zip(sure, maybe, words))
+        found = max(found, SURE if plain and any(sure) else NAME if plain or any(sure) else PART)
+    return found
 
 
 @dataclass
 class Page:
     nodes: list[Node]
+    #: Numbers of paths by the number of the path above and the last step.
+    paths: dict[tuple[int, str], int]
     #: Container, text, and characters outside links of each block.
     blocks: list[tuple[int, str, int]]
 
 
 def parse(html: str | None) -> Page:
     """Containers and text blocks of a page, in page order."""
-    nodes, blocks = [Node(-1, "body", False)], []
+    nodes, blocks = [Node(-1, 0, "body", NO, False)], []
+    paths: dict[tuple[int, str], int] = {(-1, "body"): 0}
     # open elements, each with its container and whether it is inline boilerplate, whose text is left out
     stack: list[tuple[str, int, bool]] = [("body", 0, False)]
     text: list[str] = []
@@ -148,8 +184,8 @@ def parse(html: str | None) -> Page:
             if not links and any(map(str.isalnum, piece)):
                 free += len(piece)
             continue
-        if token.group(1) is not None:
-            if token.group(1).lower() in ("noscript", "iframe", "object", "textarea", "select", "template", "svg"):
+        if token.group(1) is not None or token.group(2) is not None:
+            if token.group(2) is not None or token.group(1).lower() == "textarea":
                 text.append(" ")
             continue
         found = _TAG.match(piece)
@@ -171,8 +207,8 @@ def parse(html: str | None) -> Page:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-                if not block and stack[k][0] in _CONTAINERS:
-                    break  # an inline end tag closes nothing outside its container
+                if tag not in _CONTAINERS and stack[k][0] in _CONTAINERS:
+                    break  # an end tag of a line or phrase closes nothing outside its container
             continue
         if tag in ("html", "head", "body") or tag in _VOID:
             continue
@@ -194,21 +230,68 @@ def parse(html: str | None) -> Page:
             links += 1
         container, muted = stack[-1][1:]
         attributes = _attributes(piece) if len(piece) > len(tag) + 2 else {}
-        own_boiler = _is_boiler(tag, attributes, True)
-        if own_boiler and not block:
-            muted = True
-        elif tag in _CONTAINERS or own_boiler:
+        own = _doubt(tag, attributes, True) if attributes or tag in _BOILER_TAGS else NO
+        if own and not block:
+            muted = muted or own >= NAME
+        elif tag in _CONTAINERS or own:
             above = nodes[container]
-            in_article = "article" in above.path or "main" in above.path
-            boiler = above.boiler or _is_boiler(tag, attributes, in_article)
+            doubt = _doubt(tag, attributes, above.in_article)
             classes = ".".join(sorted(re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split()))
-            nodes.append(Node(container, f"{above.path}>{tag}" + (f".{classes}" if classes else ""), boiler))
+            path = paths.setdefault((above.path, tag + (f".{classes}" if classes else "")), len(paths))
+            nodes.append(Node(container, path, tag, doubt, above.in_article or tag in ("article", "main")))
             above.children.append(len(nodes) - 1)
             container = len(nodes) - 1
         if not piece.endswith("/>") or tag in _CONTAINERS:
             stack.append((tag, container, muted and not block))
     flush()
-    return Page(nodes, blocks)
+    return Page(nodes, paths, blocks)
+
+
+def find_path(page: Page, path: str) -> list[int]:
+    """Numbers of the page's paths from the body to ``path``; none if it has no such path."""
+    out, number = [], -1
+    for step in path.split(">"):
+        number = page.paths.get((number, step))
+        if number is None:
+            return []
+        out.append(number)
+    return out
+
+
+def path_text(page: Page, number: int) -> str:
+    steps = {n: key for key, n in page.paths.items()}
+    out = []
+    while number >= 0:
+        number, step = steps[number]
+        out.append(step)
+    return ">".join(reversed(out))
+
+
+def judge_containers(page: Page, cleared: list[int]) -> None:
+    """Set ``boiler`` of all containers; names of those with a path in ``cleared`` do not count."""
+    nodes, known = page.nodes, set(cleared)
+    for node in nodes:
+        node.chars = node.free = 0
+    sure, named, outside = [False] * len(nodes), [False] * len(nodes), 0
+    for k, node in enumerate(nodes):
+        sure[k] = node.doubt == SURE or (node.parent >= 0 and sure[node.parent])
+        named[k] = node.doubt == NAME or (node.parent >= 0 and named[node.parent])
+    for k, text, free in page.blocks:
+        if not sure[k]:
+            nodes[k].chars += len(text)
+            nodes[k].free += free
+            outside += 0 if named[k] else free
+    for k in range(len(nodes) - 1, 0, -1):  # children come after their parents
+        nodes[nodes[k].parent].chars += nodes[k].chars
+        nodes[nodes[k].parent].free += nodes[k].free
+    for k, node in enumerate(nodes):
+        out = node.doubt == SURE
+        if node.path not in known:
+            if node.doubt == NAME:
+                out = 10 * outside >= nodes[0].free or 2 * node.free < nodes[0].free
+            elif node.doubt == PART:
+                out = 2 * node.free < node.chars or node.free < _FEW
+        node.boiler = out or (node.parent >= 0 and nodes[node.parent].boiler)
 
 
 def candidate(page: Page) -> int:
@@ -220,11 +303,11 @@ def candidate(page: Page) -> int:
         if not nodes[k].boiler:
             nodes[k].good += len(text) * (free / len(text)) ** 2
             nodes[k].own |= free > 0
-    for k in range(len(nodes) - 1, 0, -1):  # children come after their parents
+    for k in range(len(nodes) - 1, 0, -1):
         nodes[nodes[k].parent].good += nodes[k].good
     k = 0
     while True:
-        if nodes[k].path.rpartition(">")[2].partition(".")[0] in ("article", "main"):
+        if nodes[k].tag in ("article", "main"):
             return k
         inside = [c for c in nodes[k].children if not nodes[c].boiler]
         best = max(inside, key=lambda c: nodes[c].good, default=None)
@@ -245,17 +328,21 @@ def block_text(page: Page, roots: list[int]) -> str:
 def vote(html: str | None) -> tuple[str, float] | None:
     """Generalised path and good text of the page's candidate; None without text."""
     page = parse(html)
-    k = candidate(page)
-    return (page.nodes[k].path, page.nodes[k].good) if page.nodes[k].good > 0 else None
+    judge_containers(page, [])
+    node = page.nodes[candidate(page)]
+    return (path_text(page, node.path), node.good) if node.good > 0 else None
 
 
 def extract(html: str | None, path: str | None) -> tuple[str, bool]:
     """The page's text by ``path``, and whether the path was found; otherwise by its own candidate."""
     page = parse(html)
-    if path is not None:
-        roots = [k for k, n in enumerate(page.nodes) if n.path == path and not n.boiler]
+    winner = find_path(page, path) if path is not None else []
+    judge_containers(page, winner)
+    if winner:
+        roots = [k for k, n in enumerate(page.nodes) if n.path == winner[-1] and not n.boiler]
         if text := block_text(page, roots):
             return text, True
+        judge_containers(page, [])
     return block_text(page, [candidate(page)]), False
 
 
@@ -277,6 +364,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     total[1] += round(found[1])
             rows = [(h, p, int(n), int(w)) for (h, p), (n, w) in votes.items()]
             yield pd.DataFrame(rows, columns=["host", "path", "votes", "weight"])
+        release_memory()
 
     rows = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     votes = rows.mapInPandas(run, "host string, path string, votes long, weight long")
@@ -289,21 +377,27 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     """``pages`` with text, n_chars (code points) and by_consensus."""
     bound_batches(pages.sparkSession)
     winners = materialise(host_paths(pages, url_col, html_col), "host-paths")
-    if winners.count() <= BROADCAST_HOSTS:
-        winners = F.broadcast(winners)
+    size = winners.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
     names = ("text", "n_chars", "by_consensus")
     keep = [c for c in pages.columns if c.lower() not in names]
     row = free_name(pages, "row")
     whole = pages.select(
-        F.struct(*keep).alias(row), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host")
-    ).join(winners, "host", "left")
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias(row), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host")
+    )
+    if 4 * size <= BROADCAST_LIMIT_BYTES:  # characters have four bytes at most
+        whole = whole.join(F.broadcast(winners), "host", "left")
+    else:
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        whole = whole.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
 
-    def run(htmls: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        found = [extract(h, p) for h, p in zip(htmls, paths)]
-        return pd.DataFrame(found, columns=["text", "by_consensus"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for htmls, paths in batches:
+            yield pd.DataFrame([extract(h, p) for h, p in zip(htmls, paths)], columns=["text", "by_consensus"])
+        release_memory()
 
     extracted = F.pandas_udf(run, "text string, by_consensus boolean")
     done = whole.select(row, extracted("html", "path").alias("found"))
+    columns = [F.col(f"{row}.`{c}`") for c in keep]
     return done.select(
-        f"{row}.*", F.col("found.text").alias("text"), F.length("found.text").cast("long").alias("n_chars"), "found.by_consensus"
+        *columns, F.col("found.text").alias("text"), F.length("found.text").cast("long").alias("n_chars"), "found.by_consensus"
     )

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import bound_batches
+from coldlake.llm.common import bound_batches, materialise, release_memory
 
 #: Remainder of crc32(id as text) modulo FOLDS whose rows are never learnt from.
 FOLDS, HELD_OUT = 3, 1
@@ -24,8 +24,10 @@ def labelled_sample(
 ) -> DataFrame:
     """doc_id, text and label of at most ``rows`` labelled documents outside the held-out fold.
 
-    Rows are taken in the order of a seeded hash of the id, so reruns agree; with ``per_class`` each
-    label gets an equal share. Ids labelled twice or null, and null labels, are left out.
+    Ids are taken in the order of a seeded hash, so reruns agree; with ``per_class`` each label gets
+    an equal share. Ids labelled twice or null, and null labels, are left out. Of documents that share
+    an id one counts, the one with the greatest text, so the bound holds. The sample is written to the
+    shared folder: documents are scanned for it once.
     """
     bound_batches(docs.sparkSession)
     usable = (
@@ -41,7 +43,8 @@ def labelled_sample(
     else:
         usable = usable.orderBy("rank", "doc_id").limit(rows)
     # the sample is bounded by ``rows``, so it can be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(usable.select("doc_id", "label")), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(usable.select("doc_id", "label")), "doc_id")
+    return materialise(found.groupBy("doc_id", "label").agg(F.max("text").alias("text")), "sample")
 
 
 def term_counts(sample: DataFrame, terms: Callable[[str | None], dict[str, int]]) -> DataFrame:
@@ -54,6 +57,7 @@ def term_counts(sample: DataFrame, terms: Callable[[str | None], dict[str, int]]
                 for term in terms(text):
                     counts.setdefault(term, [0, 0])[label > 0] += 1
             yield pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["term", "n0", "n1"])
+        release_memory()
 
     parts = sample.select("text", "label").mapInPandas(run, "term string, n0 long, n1 long")
     return parts.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -77,6 +81,7 @@ def term_rows(
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "label": batch["label"], "numbers": numbers, "counts": counts}
             )
+        release_memory()
 
     rows = sample.mapInPandas(run, "doc_id long, label int, numbers array<int>, counts array<int>")
     return rows.toPandas().sort_values("doc_id", ignore_index=True)

@@ -8,13 +8,18 @@ repetition, line ends). A document is retained if the words of its content lines
 Base rules: at least 50 words, and at most half of the words inside a 3-word window that the text
 holds twice or more.
 
-The CRF is trained by maximum likelihood on at most ``max_rows`` labelled documents outside the
-held-out fold: the lines of a document of quality 1 count as content, those of a document of quality
-0 as boilerplate. Training reads lines of a document in windows of at most ``WINDOW``; decoding reads
-all lines of all documents. Without labels of both kinds every line is content.
-
-Null and empty texts have no words and fail the base rules. Other columns pass through; result
-columns replace columns of their name.
+Labels say only whether a document is good, so the lines' states are hidden: the CRF is trained by
+expectation maximisation on at most ``max_rows`` labelled documents outside the held-out fold, of
+each at most ``WINDOWS`` windows of ``WINDOW`` neighbouring lines, drawn by a seeded hash from the
+whole document. A logistic regression of the document's label on single lines starts it. Then the
+expected states of all lines, given a document's lines and, as prior, its label, are what the next
+CRF is fitted to. The prior is weak (``PRIOR``), so a boilerplate line of a good document, or a
+content line of a bad one, is learnt as what its features and neighbours say. Decoding reads all
+lines of all documents and no label. Without labels of both kinds every line is content.
+
+Null and empty texts have no words and fail the base rules. Long texts are read whole, repeated rows
+are judged alike, an empty table gives an empty result, and ties in decoding go to content. Other
+columns pass through; result columns replace columns of their name.
 """
 
 from __future__ import annotations
@@ -28,11 +33,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import bound_batches
+from coldlake.llm.common import bound_batches, free_name, release_memory
 from coldlake.llm.labelled import labelled_sample
 
 MAX_ROWS = 2000
 WINDOW = 64
+WINDOWS = 16
+#: Log odds that a document's label adds to each of its lines in training.
+PRIOR = 0.5
+ROUNDS = 4
 MIN_CONTENT = 0.5
 MIN_WORDS = 50
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -123,78 +132,114 @@ class LineModel:
         return np.array(out[::-1], np.int8)
 
 
-def _log_add(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def train_crf(sequences: list[np.ndarray], states: list[int], steps: int = 150) -> LineModel:
-    """Maximum likelihood with an L2 penalty by Adam steps on forward-backward gradients.
-
-    ``states`` holds the state that all lines of a sequence share.
-    """
-    windows = [(s[b : b + WINDOW], y) for s, y in zip(sequences, states) for b in range(0, len(s), WINDOW)]
-    width, n = max(len(s) for s, _ in windows), len(windows)
-    x = np.zeros((n, width, len(FEATURES)), np.float32)
-    mask = np.zeros((n, width), bool)
-    for k, (s, _) in enumerate(windows):
-        x[k, : len(s)] = s
-        mask[k, : len(s)] = True
-    y = np.array([v for _, v in windows])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    gold = np.zeros((n, 2))
-    gold[np.arange(n), y] = 1
-    params = np.zeros(len(FEATURES) * 2 + 4)
-    m, v = np.zeros_like(params), np.zeros_like(params)
-    pairs = mask[:, 1:]
-    for step in range(1, steps + 1):
-        emission, transition = params[:-4].reshape(-1, 2), params[-4:].reshape(2, 2)
-        score = x @ emission
-        alpha, beta = np.zeros((n, width, 2)), np.zeros((n, width, 2))
-        alpha[:, 0] = score[:, 0]
+class _Windows:
+    """Padded windows of lines, and sums over all their labellings."""
+
+    def __init__(self, windows: list[np.ndarray], labels: list[int]):
+        self.n, self.width = len(windows), max(map(len, windows))
+        self.x = np.zeros((self.n, self.width, len(FEATURES)), np.float32)
+        self.mask = np.zeros((self.n, self.width), bool)
+        for k, s in enumerate(windows):
+            self.x[k, : len(s)] = s
+            self.mask[k, : len(s)] = True
+        self.y = np.array(labels)
+        # both labels weigh the same, and a line as much as any other of its label
+        lines = self.mask.sum(1)
+        self.share = np.where(self.y == 1, 0.5 / max(1, lines[self.y == 1].sum()), 0.5 / max(1, lines[self.y == 0].sum()))
+        self.prior = np.stack([-(2 * self.y - 1), 2 * self.y - 1], 1) * (PRIOR / 2)
+
+    def expected(self, emission: np.ndarray, transition: np.ndarray, prior: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of each line's states and of each pair of neighbours', by forward and backward sums."""
+        width, n = self.width, self.n
+        score = self.x @ emission.astype(np.float32) + (self.prior[:, None, :] if prior else 0.0)
+        e = np.exp(score - score.max(2, keepdims=True)).transpose(1, 0, 2).astype(float)
+        step, inside = np.exp(transition), self.mask.T[:, :, None]
+        # chances are scaled to sum 1 at each line, which cancels in the results
+        alpha, beta, scale = np.zeros((width, n, 2)), np.ones((width, n, 2)), np.ones((width, n, 1))
+        alpha[0] = e[0] / e[0].sum(1, keepdims=True)
         for t in range(1, width):
-            new = _log_add(alpha[:, t - 1][:, :, None] + transition, 1) + score[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], new, alpha[:, t - 1])
-        for t in range(width - 2, -1, -1):
-            new = _log_add(transition + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(mask[:, t + 1, None], new, 0)
-        log_z = _log_add(alpha[:, -1], 1)
-        state = np.exp(alpha + beta - log_z[:, None, None]) * mask[:, :, None]
-        edge = np.exp(
-            alpha[:, :-1, :, None] + transition + (score + beta)[:, 1:, None, :] - log_z[:, None, None, None]
-        ) * pairs[:, :, None, None]
-        wanted = gold[:, None, :] * mask[:, :, None]
-        g_emission = np.einsum("ntf,nts->fs", x * share[:, None, None], state - wanted)
-        same = (pairs.sum(1) * share)[:, None] * gold
-        g_transition = np.einsum("ntab,n->ab", edge, share) - np.diag(same.sum(0))
-        grad = np.concatenate([g_emission.ravel(), g_transition.ravel()]) + 1e-3 * params
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        params -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            new = (alpha[t - 1] @ step) * e[t]
+            scale[t] = np.where(inside[t], new.sum(1, keepdims=True), 1.0)
+            alpha[t] = np.where(inside[t], new / scale[t], alpha[t - 1])
+        ahead = np.zeros((width, n, 2))
+        for t in range(width - 1, 0, -1):
+            ahead[t] = e[t] * beta[t] / scale[t]
+            beta[t - 1] = np.where(inside[t], ahead[t] @ step.T, 1.0)
+        state = (alpha * beta * inside).transpose(1, 0, 2)
+        edge = alpha[:-1, :, :, None] * step * ahead[1:, :, None, :] * inside[1:, :, :, None]
+        return state, edge.transpose(1, 0, 2, 3)
+
+    def fit(self, params: np.ndarray, state: np.ndarray, edge: np.ndarray | None, steps: int) -> np.ndarray:
+        """Parameters raising the likelihood of the expected states, by Adam steps with an L2 penalty.
+
+        Without ``edge`` lines count alone and transitions stay.
+        """
+        m, v = np.zeros_like(params), np.zeros_like(params)
+        weighted = self.x * self.share[:, None, None]
+        for step in range(1, steps + 1):
+            emission, transition = params[:-4].reshape(-1, 2), params[-4:].reshape(2, 2)
+            if edge is None:
+                score = np.exp(self.x @ emission.astype(np.float32))
+                own = score / score.sum(2, keepdims=True) * self.mask[:, :, None]
+                g_transition = np.zeros((2, 2))
+            else:
+                own, both = self.expected(emission, transition, prior=False)
+                g_transition = np.einsum("ntab,n->ab", both - edge, self.share)
+            g_emission = weighted.reshape(-1, len(FEATURES)).T @ (own - state).reshape(-1, 2)
+            grad = np.concatenate([g_emission.ravel(), g_transition.ravel()]) + 1e-3 * params
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return params
+
+
+def train_crf(sequences: list[np.ndarray], labels: list[int]) -> LineModel:
+    """EM over windows of lines (features) of documents with a label; see the module's docstring."""
+    windows = _Windows(sequences, labels)
+    gold = np.zeros((windows.n, windows.width, 2))
+    gold[np.arange(windows.n), :, windows.y] = 1
+    params = windows.fit(np.zeros(len(FEATURES) * 2 + 4), gold * windows.mask[:, :, None], None, 150)
+    for _ in range(ROUNDS):
+        state, edge = windows.expected(params[:-4].reshape(-1, 2), params[-4:].reshape(2, 2), prior=True)
+        params = windows.fit(params, state, edge, 20)
     return LineModel(params[:-4].reshape(-1, 2).copy(), params[-4:].reshape(2, 2).copy())
 
 
+def drawn_windows(features: np.ndarray, seed: int, most: int = WINDOWS) -> list[np.ndarray]:
+    """At most ``most`` windows of a document's lines, drawn from all of them."""
+    count = -(-len(features) // WINDOW)
+    chosen = range(count)
+    if count > most:
+        chosen = np.sort(np.random.default_rng([seed & 0xFFFFFFFF, 3]).choice(count, most, replace=False)).tolist()
+    return [features[k * WINDOW : (k + 1) * WINDOW] for k in chosen]
+
+
 def text_lines(text: str | None) -> list[str]:
     """The lines of a text that hold a word."""
     return [x for x in (text or "").split("\n") if x.encode("utf-8", "surrogatepass").split()]
 
 
 def fit_lines(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> LineModel:
-    """CRF fitted on at most ``max_rows`` labelled rows of ``docs``, at most WINDOW^2 lines of each."""
+    """CRF fitted on at most ``max_rows`` labelled rows of ``docs``, at most WINDOWS * WINDOW lines of each."""
     sample = labelled_sample(docs, labels, "quality", max_rows, per_class=True, seed=3)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            packed = [line_features(text_lines(t)[: WINDOW * WINDOW]).astype(np.uint8).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "features": packed})
-
-    rows = sample.mapInPandas(run, "doc_id long, label int, features binary").toPandas().sort_values("doc_id")
+            rows = []
+            for i, label, text in zip(batch["doc_id"], batch["label"], batch["text"]):
+                found = drawn_windows(line_features(text_lines(text)), int(i))
+                rows += [(i, k, label, w.astype(np.uint8).tobytes()) for k, w in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["doc_id", "number", "label", "features"])
+        release_memory()
+
+    rows = sample.mapInPandas(run, "doc_id long, number int, label int, features binary").toPandas()
+    rows = rows.sort_values(["doc_id", "number"])
     found = [np.frombuffer(x, np.uint8).reshape(-1, len(FEATURES)).astype(np.float32) for x in rows["features"]]
-    pairs = [(f, int(y > 0)) for f, y in zip(found, rows["label"]) if len(f)]
-    if len({y for _, y in pairs}) < 2:
+    states = [int(y > 0) for y in rows["label"]]
+    if len(set(states)) < 2:
         content = np.zeros((len(FEATURES), 2))
         content[0, 1] = 1.0
         return LineModel(content, np.zeros((2, 2)))
-    return train_crf([f for f, _ in pairs], [y for _, y in pairs])
+    return train_crf(found, states)
 
 
 RESULT = (
@@ -235,7 +280,9 @@ def apply_rules(docs: DataFrame, model: LineModel, text_col: str = "text") -> Da
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([judge(t, model) for t in texts], columns=names)
+        release_memory()
 
-    keep = [c for c in docs.columns if c.lower() not in names]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
+    rule = free_name(docs, "rule")
     rules = F.pandas_udf(run, RESULT)
-    return docs.select(*keep, rules(F.col(text_col)).alias("rule")).select(*keep, "rule.*")
+    return docs.select(*keep, rules(F.col(text_col)).alias(rule)).select(*keep, f"{rule}.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldlake.llm import exact
-from coldlake.llm.common import bound_batches, map_groups, materialise
+from coldlake.llm.common import bound_batches, map_groups, materialise, release_memory
 from coldlake.llm.components import connected_components
 from coldlake.llm.shingles import WordHasher, mix, shingle_hashes
 
@@ -43,7 +43,9 @@ BLOCK_SHINGLES = 400_000
 #: Linked groups of at least this many nodes get blocks of their own.
 LARGE_GROUP = 512
 #: Words that a task remembers the hashes of.
-REMEMBER = 200_000
+REMEMBER = 100_000
+#: Sets with a larger share of all rows than one in so many are joined by broadcast.
+HOT_SETS = 4096
 
 
 class MinMaxHasher:
@@ -97,6 +99,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, hasher: M
                 digests.append(set_digest(hashes) if len(hashes) else None)
                 bands.append(hasher.band_keys(hasher.signature(hashes)) if len(hashes) else None)
             yield pd.DataFrame({"id": batch["id"], "n": sizes, "digest": digests, "bands": bands})
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "id long, n long, digest binary, bands array<long>")
@@ -120,6 +123,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFr
             yield pd.DataFrame(
                 {"digest": [set_digest(f) for f in found], "n": [len(f) for f in found], "hashes": [f.tobytes() for f in found]}
             )
+        release_memory()
 
     sets = some.mapInPandas(run, "digest binary, n long, hashes binary")
     return sets.join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "n", "hashes")
@@ -254,8 +258,17 @@ def near_duplicate_groups(
     grouped = grouped.where("copies > 1 OR component IS NOT NULL")
     grouped = materialise(grouped.withColumn("component", F.coalesce("component", "node")), "grouped")
     smallest = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = materialise(grouped.join(materialise(smallest, "smallest"), "component").select("digest", "component_id"), "named")
-    out = signed.select("id", "n", "digest").join(named, "digest", "left")
+    named = grouped.join(materialise(smallest, "smallest"), "component").select("digest", "component_id", "copies")
+    named = materialise(named, "named")
+    # sets of more than 1/HOT_SETS of all rows, and so at most HOT_SETS, are joined by broadcast
+    hot = F.col("copies") > max(1, signed.count() // HOT_SETS)
+    rows = signed.select("id", "n", "digest")
+    by_hot = rows.join(F.broadcast(named.where(hot).select("digest", F.col("component_id").alias("hot_id"))), "digest", "left")
+    full = by_hot.where("n > 0 AND hot_id IS NULL").drop("hot_id")
+    out = full.join(named.where(~hot).select("digest", "component_id"), "digest", "left").select("id", "n", "component_id")
+    # hot sets, and empty ones, which share the null digest, need no shuffle
+    apart = by_hot.where("n = 0 OR hot_id IS NOT NULL").select("id", "n", F.col("hot_id").alias("component_id"))
+    out = out.unionByName(apart)
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col),

@@ -10,7 +10,10 @@ similarity; the score is the weighted share of label 1.
 
 Only rows outside the held-out fold are learnt from. Texts are read whole. A null or empty text, or
 one without a known term, has no direction and gets the prior, the share of label 1 among all usable
-labels. With labels of one class only, or none, the prior decides every row.
+labels. With labels of one class only, or none, the prior decides every row. Similarities are rounded
+to six digits; of equal ones the vector of the smaller doc_id counts first, so copies score alike. An
+empty table gives an empty result; other columns pass through, result columns replace columns of
+their name.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import bound_batches
+from coldlake.llm.common import bound_batches, release_memory
 from coldlake.llm.labelled import held_out, labelled_sample, term_counts, term_rows
 
 MAX_ROWS = 4096
+#: Terms of the model, by how many sampled documents hold them.
 MAX_TERMS = 8192
 DIMENSIONS = 48
 NEIGHBOURS = 15
@@ -44,8 +48,7 @@ def word_shape(word: str) -> str:
             return "A" if other.isupper() else "a" if other.isalpha() else other
         return "A" if upper else "a" if lower else "0"
 
-    shape = _RUNS.sub(one, word)
-    return re.sub(r"(.)\1+", r"\1", shape)[:12]
+    return re.sub(r"(.)\1+", r"\1", _RUNS.sub(one, word))
 
 
 class TermExtractor:
@@ -101,24 +104,34 @@ class NeighbourModel:
             return out
         k = min(self.neighbours, len(self.vectors))
         for begin in range(0, len(vectors), BLOCK):
-            block = vectors[begin : begin + BLOCK]
-            near = block @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, top, axis=1), 0.0).astype(float)
+            n = min(BLOCK, len(vectors) - begin)
+            # blocks of one shape, and similarities of six digits: a row's result does not depend on the others
+            block = np.zeros((BLOCK, vectors.shape[1]), np.float32)
+            block[:n] = vectors[begin : begin + n]
+            near = np.rint((block @ self.vectors.T)[:n] * 1e6).astype(np.int64)
+            rank = (near << 20) - np.arange(len(self.vectors))  # of equal similarities the earlier row
+            top = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+            weight = np.maximum(np.take_along_axis(near, top, axis=1), 0) / 1e6
             total = weight.sum(1)
             share = (weight * self.labels[top]).sum(1) / np.maximum(total, 1e-12)
-            out[begin : begin + BLOCK] = np.where(total > 1e-9, share, self.prior)
+            out[begin : begin + n] = np.where(total > 1e-9, share, self.prior)
         return np.clip(out, 0.0, 1.0)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> NeighbourModel:
-    """Model of ``labels.quality``, fitted on at most ``max_rows`` labelled rows of ``docs``."""
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS
+) -> NeighbourModel:
+    """Model of ``labels.quality``, fitted on at most ``max_rows`` labelled rows of ``docs``.
+
+    The model has the ``max_terms`` terms that most of these rows hold, the driver ``max_rows`` x
+    ``max_terms`` numbers while it is fitted.
+    """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     prior = usable.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     prior = 0.5 if prior is None else float(prior)
     sample = labelled_sample(docs, labels, "quality", max_rows, per_class=True, seed=2)
     counts = term_counts(sample, lambda text: TermExtractor()(text)).withColumn("n", F.expr("n0 + n1")).where("n >= 2")
-    found = counts.orderBy(F.desc("n"), "term").limit(MAX_TERMS).select("term", "n").collect()
+    found = counts.orderBy(F.desc("n"), "term").limit(max_terms).select("term", "n").collect()
     vocabulary = {r["term"]: k for k, r in enumerate(found)}
     rows = term_rows(sample, lambda text: TermExtractor()(text), vocabulary)
     empty = NeighbourModel(vocabulary, np.zeros(len(vocabulary)), np.zeros((len(vocabulary), 1)), np.zeros((0, 1), np.float32), np.zeros(0), prior)
@@ -162,6 +175,7 @@ def score_quality(docs: DataFrame, model: NeighbourModel, text_col: str = "text"
                 numbers.append(np.fromiter(found, np.int64, len(found)))
                 counts.append(np.fromiter(found.values(), float, len(found)))
             yield pd.Series(model.score(model.fold(numbers, counts)))
+        release_memory()
 
     judge = F.pandas_udf(run, "double")
     keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]

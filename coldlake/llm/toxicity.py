@@ -15,8 +15,9 @@ The labels say only whether a document is toxic, so the grades of toxic training
 
 Fitting takes at most ``max_rows`` labelled rows outside the held-out fold; scoring reads whole texts
 of all documents. Null and empty texts have no feature and get the severity of the intercepts; where
-the labels hold no toxic row, nothing is toxic. Other columns pass through; result columns replace
-columns of their name.
+the labels hold no toxic row, nothing is toxic. An empty table gives an empty result; repeated rows
+are scored alike. Between equally likely grades the lower one is taken, and of thresholds that gain
+the same the highest. Other columns pass through; result columns replace columns of their name.
 """
 
 from __future__ import annotations
@@ -31,12 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import bound_batches
+from coldlake.llm.common import bound_batches, release_memory
 from coldlake.llm.labelled import labelled_sample, term_counts, term_rows
 
 GRADES = 3
 MAX_ROWS = 12_000
-MAX_TERMS = 4096
 #: G statistic below which a term's difference may be chance, with millions of terms tried.
 MIN_G = 25.0
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -108,7 +108,7 @@ def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grades: np.nda
 
 
 def _significant(sample: DataFrame) -> dict[str, int]:
-    """Terms whose document counts differ between the classes beyond chance, at most MAX_TERMS."""
+    """Terms whose document counts differ between the classes beyond chance, strongest first."""
     totals = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(False, 0), totals.get(True, 0)
     if not clean or not toxic:
@@ -129,8 +129,9 @@ def _significant(sample: DataFrame) -> dict[str, int]:
     counts = term_counts(sample, toxicity_terms).where(both < n)
     least = min(MIN_G, 0.6 * 2 * toxic)  # few labels: a term in most toxic rows still counts
     chosen = counts.withColumn("g", g).where(F.col("g") >= least).where(n1 / toxic > n0 / clean)
-    found = chosen.orderBy(F.desc("g"), "term").limit(MAX_TERMS).select("term").collect()
-    return {r["term"]: k for k, r in enumerate(found)}
+    # bounded by the sample: of its terms only those that pass the test
+    found = sorted((-r["g"], r["term"]) for r in chosen.select("term", "g").collect())
+    return {term: k for k, (_, term) in enumerate(found)}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> OrdinalModel:
@@ -163,7 +164,7 @@ def score_toxicity(
     reject_at = model.reject_at if reject_at is None else reject_at
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+    shared = spark.sparkContext.broadcast(model)  # a term of the bounded sample each
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -191,6 +192,7 @@ def score_toxicity(
             p = model.probabilities(scores)
             chance = np.concatenate([np.ones((len(p), 1)), p], 1) - np.concatenate([p, np.zeros((len(p), 1))], 1)
             yield pd.DataFrame({"severity": p.sum(1), "grade": chance.argmax(1).astype("int32"), "p_toxic": p[:, 0]})
+        release_memory()
 
     judge = F.pandas_udf(run, "severity double, grade int, p_toxic double")
     names = ("severity", "grade", "p_toxic", "rejected")

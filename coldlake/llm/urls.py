@@ -5,13 +5,14 @@ itself and all its subdomains, if the url's path starts with the rule's path. Of
 rules the one with more host labels wins, then the one with the longer path. Urls that no rule fits
 get the default action.
 
-The rule list is a parameter that a person maintains, so the trie is small and sent to executors
-with the function; ``max_rules`` guards that bound.
+The rule list is a parameter that a person maintains, so the trie is small and broadcast to the
+executors; ``max_rules`` guards that bound.
 
 The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z
 lower-cased; the path is what follows it up to ``?``, ``#`` or the end. A null url, or one without
-``://``, has an empty host and path and gets the default action. Columns of the input named like a
-result column are replaced.
+``://``, has an empty host and path and gets the default action. Of equal rules the last one holds;
+repeated rows are judged alike, long urls are read whole, an empty table gives an empty result.
+Columns of the input named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import ascii_lower
+from coldlake.llm.common import ascii_lower, free_name
 
 MAX_RULES = 1_000_000
 
@@ -92,9 +93,10 @@ def judge_urls(
     pages: DataFrame, rules: Iterable[tuple[str, str]], url_col: str = "url", default: str = "allow"
 ) -> DataFrame:
     """``pages`` with columns host, path, rule (null if none fits) and verdict."""
-    trie = UrlTrie(rules)
+    shared = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     def decide(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        trie = shared.value
         hits = [trie.match(h, p) or (None, default) for h, p in zip(hosts, paths)]
         return pd.DataFrame(hits, columns=["rule", "verdict"], dtype=object)
 
@@ -113,7 +115,7 @@ def judge_urls(
 
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], url_col: str = "url", default: str = "allow"):
     """The rows of ``pages`` whose verdict is allow, with their own columns."""
-    columns = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    if columns != pages.columns:
-        raise ValueError("filter_urls would hide columns named host, path, rule or verdict; rename them first")
-    return judge_urls(pages, rules, url_col, default).where("verdict = 'allow'").select(*columns)
+    row = free_name(pages, "page")
+    whole = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias(row), F.col(url_col).alias("url"))
+    judged = judge_urls(whole, rules, "url", default).where("verdict = 'allow'")
+    return judged.select(*[F.col(f"{row}.`{c}`") for c in pages.columns])

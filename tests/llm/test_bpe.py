@@ -40,8 +40,13 @@ def test_matches_library_and_round_trips(spark, library, block_chars, slices):
 
 def test_empty_table_and_clash(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, ids int")
-    with pytest.raises(ValueError):
-        bpe.encode(docs, RANKS, P.PATTERN)
+    assert bpe.encode(docs, RANKS, P.PATTERN).collect() == []
+    row = spark.createDataFrame([(1, "two words", 7, 8)], "doc_id long, text string, IDS int, decoded int")
+    tables = spark.catalog.listTables()
+    done = bpe.decode(bpe.encode(row, RANKS, P.PATTERN), RANKS)
+    assert done.columns == ["doc_id", "ids", "decoded"]
+    assert bytes(done.first()["decoded"]) == b"two words"
+    assert spark.catalog.listTables() == tables  # nothing is left in the catalogue
     assert bpe.token_digests(docs.drop("ids"), RANKS, P.PATTERN).collect() == []
 
 

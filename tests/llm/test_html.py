@@ -2,7 +2,9 @@
 
 import html
 import re
+import tracemalloc
 
+from coldlake.llm import html_extract
 from coldlake.llm.html_extract import extract, extract_pages, vote
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{color:red}</style><script>var a="<p>no</p>";</script></head>
@@ -88,3 +90,48 @@ def test_nothing_is_left_behind_on_the_way_down(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     for r in extract_pages(frame).collect():
         assert r["text"] == list(pages.values())[r["page_id"] // 3] + text
+
+
+def test_markup_that_ends_itself():
+    for piece in ("<svg width=1 />", "<object data='x'/>", "<!-->", "<!--->", "<!-- x > y -->", "<svg><path/>no</svg>"):
+        page = f"<main><p>One {piece} two.</p><p>Three, and so on.</p><!-- end --></main>"
+        assert extract(page, None)[0] == "One two.\nThree, and so on.", piece
+
+
+def test_names_are_suspicions():
+    words = "".join(f"<p>Sentence {k} of the article, which is about many things.</p>" for k in range(6))
+    text = "\n".join(f"Sentence {k} of the article, which is about many things." for k in range(6))
+    for name in ("share-price-report", "side", "side-by-side", "ad-hoc related-work", "search", "form-of-government"):
+        assert extract(f"<body><nav>Menu</nav><main><div class='{name}'>{words}</div></main></body>", None)[0] == text, name
+    # the part of an article in such a container stays, a row of links or a button's words go
+    rest = "<p>Rest of the article that is as long as a sentence can be.</p>" * 20
+    kept = extract(f"<article>{rest}<div class='side-by-side'>{words}</div></article>", None)[0]
+    assert kept.endswith(text)
+    gone = "<div class='social-share'><p>Share this page with everyone that you know, now, today.</p></div><div class='share-this'><a href=/>All the places to share it</a></div>"
+    assert extract(f"<article>{words}{gone}<div class=comments>{rest}</div></article>", None)[0] == text
+    assert extract(f"<form id=aspnet>{'<article>' + words + '</article>'}</form>", None)[0] == text
+
+
+def test_vote_overrules_names(spark):
+    long = "".join(f"<p>Paragraph {k} of the body of the page, long enough.</p>" for k in range(9))
+    odd = "<div class=top><p>A long text of another kind. %s</p></div>" % ("It goes on and on. " * 60)
+    pages = [(k, f"http://n.org/{k}", f"<body><div class=related>{long}</div></body>") for k in range(4)]
+    pages.append((9, "http://n.org/9", f"<body>{odd}<div class=related>{long}</div></body>"))
+    got = extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len({r["text"] for r in got}) == 1 and got[0]["text"].startswith("Paragraph 0")
+
+
+def test_deep_page_in_bounded_memory():
+    page = "<div class=a>" * 40_000 + "<p>Deep down there is a sentence.</p>" + "</div>" * 40_000
+    tracemalloc.start()
+    path, _ = vote(page)
+    assert extract(page, path) == ("Deep down there is a sentence.", True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6
+
+
+def test_winners_too_large_to_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://h{k % 3}.org/{k}", PAGE) for k in range(20)], "page_id long, url string, html string").repartition(4)
+    monkeypatch.setattr(html_extract, "BROADCAST_LIMIT_BYTES", 1)
+    assert {(r["text"], r["by_consensus"]) for r in extract_pages(pages).collect()} == {(WANT, True)}
