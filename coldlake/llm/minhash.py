@@ -105,8 +105,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, hasher: M
     return rows.mapInPandas(run, "id long, n long, digest binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """node, n and hashes of the wanted nodes (id, digest, node), from one text of each."""
+def _sets(
+    docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame, n_wanted: int, repeated_ids: bool
+) -> DataFrame:
+    """The wanted nodes (id, digest, node, ...) with their hashes, from one text of each."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     h = F.xxhash64(F.coalesce(F.col("id"), F.lit(0)))
     bloom = exact.key_filter(wanted.select(h.alias("h")), n_wanted)
@@ -121,12 +123,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFr
                 words.clear()
             found = [shingle_hashes(t, words, size) for t in batch["text"]]
             yield pd.DataFrame(
-                {"digest": [set_digest(f) for f in found], "n": [len(f) for f in found], "hashes": [f.tobytes() for f in found]}
+                {"digest": [set_digest(f) for f in found], "hashes": [f.tobytes() for f in found]}
             )
         release_memory()
 
-    sets = some.mapInPandas(run, "digest binary, n long, hashes binary")
-    return sets.join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "n", "hashes")
+    sets = some.mapInPandas(run, "digest binary, hashes binary").join(wanted.drop("id"), "digest").drop("digest")
+    return sets.dropDuplicates(["node"]) if repeated_ids else sets
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -239,12 +241,13 @@ def near_duplicate_groups(
 
     wanted = materialise(nodes.join(parts, "node").select("id", "digest", "node", "n", "part"), "wanted")
     n_wanted = wanted.count()
-    sets = _sets(docs, id_col, text_col, size, wanted, n_wanted)
     weights = wanted.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES))
     weights = materialise(weights.withColumn("blocks", F.when(F.col("rows") > 2, blocks).otherwise(F.lit(1))), "weights")
-    members = sets.join(wanted.select("node", "part"), "node").join(weights.select("part", "blocks"), "part")
-    members = materialise(members, "members")
+    placed = materialise(wanted.join(weights.select("part", "blocks"), "part"), "placed")
+    # rows that share id and set are one node; only where ids repeat can there be any
+    repeated_ids = not signed.groupBy("id").count().where("count > 1").isEmpty()
+    members = materialise(_sets(docs, id_col, text_col, size, placed, n_wanted, repeated_ids), "members")
 
     links = _compare(members.where("blocks = 1"), None, percent)
     links = materialise(links, "links")

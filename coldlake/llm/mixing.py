@@ -34,8 +34,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from coldlake.llm.common import BROADCAST_LIMIT_BYTES, free_name, materialise
 
@@ -146,6 +148,14 @@ def _small(side: DataFrame, size: int) -> DataFrame:
     return F.broadcast(side) if size <= BROADCAST_LIMIT_BYTES else side
 
 
+def _local(like: DataFrame, rows: list, schema: str) -> DataFrame:
+    """Rows as a table, handed over as an Arrow table: no Python worker has to start for it."""
+    spark = like.sparkSession
+    kinds = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds))
+
+
 def _frame(table: DataFrame, plan: pd.DataFrame, columns: list[str]) -> DataFrame:
     """``table`` with columns of its source's plan row."""
     kinds = {"start": "long", "low": "long", "cap": "long", "gap": "double", "parts": PARTS, "fill": "array<long>", "gone": "array<long>"}
@@ -153,7 +163,7 @@ def _frame(table: DataFrame, plan: pd.DataFrame, columns: list[str]) -> DataFram
     values = [[int(i), s, *r] for i, s, r in zip(plan.index, plan["source"], plan[columns].values.tolist())]
     schema = "number int, name string, " + ", ".join(f"{c} {kinds[c]}" for c in columns)
     values = [[v[0], v[1], *(casts[kinds[c]](x) for c, x in zip(columns, v[2:]))] for v in values]
-    side = table.sparkSession.createDataFrame(values, schema)
+    side = _local(table, values, schema)
     return table.join(_small(side, len(values) * 64), F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
 
@@ -345,7 +355,7 @@ def mix_sources(
         "k int, blocks long, quota long, factor long, shift long, ends array<long>"
     )
     names = [f.split()[0] for f in schema.split(", ")]
-    plan_rows = _small(docs.sparkSession.createDataFrame(side, schema), sum(256 + 8 * shards + 24 * len(r[4]) for r in side))
+    plan_rows = _small(_local(docs, side, schema), sum(256 + 8 * shards + 24 * len(r[4]) for r in side))
     keep = [c for c in docs.columns if c.lower() not in RESULT_COLUMNS]
     # columns of docs keep clear of the plan's names
     safe = {c: free_name(docs, f"kept{n}") for n, c in enumerate(keep)}
