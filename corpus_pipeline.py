@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; a stage's result is written as Parquet
 and read again as the next one's ``docs``. All stages but the last return the columns of
 ``documents``.
+
+Null and empty texts are clean, are copies of each other, have no near copies, take no words of the
+mix and give no tokens; very long texts are read whole. Rows that repeat are exact copies: one stays.
+An empty table gives an empty result. Other columns of ``documents`` travel as far as the mix,
+whatever their names. Ties are those of the operators. This module needs the ``llm`` subpackage.
 """
 
 from __future__ import annotations
@@ -41,8 +46,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy, their number, and the SHA-256 of the bytes that they decode to."""
-    tokens = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    """Token ids of every copy, their number, and the SHA-256 of the bytes that they decode to.
+
+    The ids are written between the two steps, so that a task holds one Python worker at a time.
+    """
+    tokens = materialise(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), "tokens")
     decoded = bpe.decode(tokens, RANKS)
     return decoded.select(
         "doc_id",
