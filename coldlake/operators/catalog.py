@@ -116,14 +116,30 @@ class Catalog:
     def _entry_path(self, dataset_id: str) -> str:
         return f"{self.root}/datasets/{dataset_id}.json"
 
+    @staticmethod
+    def _identify(path: str) -> tuple[str, str]:
+        path = re.sub(r"^file:/+", "/", path.rstrip("/"))
+        return path, hashlib.sha256(path.encode()).hexdigest()[:16]
+
+    def known(self, path: str) -> bool:
+        return self.files.exists(self._entry_path(self._identify(path)[1]))
+
     def register(
-        self, path: str, name: str | None = None, version: str | None = None, tags: list[str] | None = None
+        self, path: str, name: str | None = None, version: str | None = None, tags: list[str] | None = None,
+        refresh: bool = False,
     ) -> str:
-        """Add an archive by its manifest; a path that is known keeps its id and is not added again."""
-        path = re.sub(r"^file:/+", "/", path.rstrip("/"))
-        dataset_id = hashlib.sha256(path.encode()).hexdigest()[:16]
+        """Add an archive by its manifest; a path that is known keeps its id and is not added again.
+
+        ``refresh`` brings a known entry up to the manifest; what is not given stays as it was.
+        """
+        path, dataset_id = self._identify(path)
+        old: dict = {}
         if self.files.exists(self._entry_path(dataset_id)):
-            return dataset_id
+            if not refresh:
+                return dataset_id
+            old = json.loads(self.files.read_text(self._entry_path(dataset_id)))
+            name, version = name or old["name"], old["version"] if version is None else version
+            tags = [t for t in old["tags"].split(",") if t] if tags is None else tags
         m = read_manifest(self.spark, path)
         keys = [part_key(f, m) for f in m.files]
         entry = {
@@ -131,7 +147,7 @@ class Catalog:
             "name": name or path.rstrip("/").rsplit("/", 1)[-1].split(".")[0],
             "path": path,
             "version": version,
-            "registered_at": dt.datetime.now(dt.timezone.utc).isoformat(),
+            "registered_at": old.get("registered_at") or dt.datetime.now(dt.timezone.utc).isoformat(),
             "freeze_date": m.created,
             "codec": m.codec_requested,
             "quant_level": m.quant,

@@ -131,11 +131,16 @@ def flatten(documents: DataFrame, column: str = "value", sample_docs: int = SAMP
     return Detected(df, DataKind.SEMI_STRUCTURED, fields)
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
+    """CSV with a header, quotes doubled inside quoted fields, and line ends in them if ``multiline``."""
+    return spark.read.csv(path, schema=schema, header=True, inferSchema=schema is None, multiLine=multiline, escape='"')
+
+
 def detect_file(spark: SparkSession, path: str) -> Detected:
     """Read a CSV, JSONL, NDJSON, JSON, Parquet or Excel file, by its extension."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        return tabular(spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"'))
+        return tabular(read_csv(spark, path))
     if kind == "parquet":
         return tabular(spark.read.parquet(path))
     if kind in ("jsonl", "ndjson"):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
+import math
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from typing import Any
@@ -68,15 +70,23 @@ def as_scalar(value: Any) -> Any:
     return str(value)
 
 
-def may_match(stats: Mapping[str, list], spec: FilterSpec | None) -> bool:
+def _decimal(value: Any) -> Any:
+    return None if value is None else decimal.Decimal(str(value))
+
+
+def may_match(stats: Mapping[str, list], spec: FilterSpec | None, decimals: Iterable[str] = ()) -> bool:
     """Whether a file with these smallest and largest values can hold a matching row.
 
-    Comparisons are typed; where types do not compare, the file is kept.
+    Comparisons are typed, those of ``decimals`` as decimal numbers; where types do not compare, the
+    file is kept. NaN counts as Spark orders it, above all other values.
     """
     for name, wanted in (spec or {}).items():
         if name not in stats:
             continue
-        low, high, nulls = stats[name]
+        low, high, nulls, *more = stats[name]
+        if more or high != high or low != low:  # the file holds NaN
+            low, high = (math.inf if low is None or low != low else low), math.inf
+        plain = _decimal if name in decimals else as_scalar
         if wanted is None:
             if not nulls:
                 return False
@@ -86,16 +96,20 @@ def may_match(stats: Mapping[str, list], spec: FilterSpec | None) -> bool:
                 continue
             return False
         try:
+            if name in decimals:
+                low, high = plain(low), plain(high)
             if isinstance(wanted, tuple):
-                first, last = (as_scalar(w) for w in wanted)
+                first, last = (math.inf if w != w else plain(w) for w in wanted)
                 hit = (first is None or _le(first, high)) and (last is None or _le(low, last))
             elif isinstance(wanted, (list, set, frozenset)):
                 hit = any(
-                    bool(nulls) if v is None else _le(low, as_scalar(v)) and _le(as_scalar(v), high) for v in wanted
+                    bool(nulls) if v is None else bool(more) if v != v else _le(low, plain(v)) and _le(plain(v), high) for v in wanted
                 )
+            elif wanted != wanted:
+                hit = high == math.inf
             else:
-                hit = _le(low, as_scalar(wanted)) and _le(as_scalar(wanted), high)
-        except TypeError:
+                hit = _le(low, plain(wanted)) and _le(plain(wanted), high)
+        except (TypeError, decimal.InvalidOperation):
             hit = True
         if not hit:
             return False

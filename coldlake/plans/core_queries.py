@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coldlake.session import ArchiveSession
+from coldlake.sources.datasource import register_format
+from coldlake.sources.files import Files
 from coldlake.api import copy_archive
 from coldlake.functions import transforms as tr
 from coldlake.operators import catalog as cat
@@ -767,15 +771,23 @@ def tr_json_compact(spark, sf_dir):
 
 @query(
     "profile_lineitem",
-    """SELECT 11 AS n_cols_used, COUNT(*) AS n_rows, COUNT(DISTINCT l_returnflag) AS flags, COUNT(DISTINCT l_linestatus) AS statuses
+    """WITH cv AS (
+         SELECT unnest([stddev(l_quantity) / avg(abs(l_quantity)), stddev(l_extendedprice) / avg(abs(l_extendedprice)),
+                        stddev(l_discount) / avg(abs(l_discount)), stddev(l_tax) / avg(abs(l_tax))]) AS x FROM lineitem)
+       SELECT COUNT(*) AS n_rows, 11 AS n_cols, round(4 / 11.0::DOUBLE, 6) AS floats, round(4 / 11.0::DOUBLE, 6) AS ints,
+              round(2 / 11.0::DOUBLE, 6) AS texts, round(1 / 11.0::DOUBLE, 6) AS times,
+              round((COUNT(DISTINCT l_returnflag) + COUNT(DISTINCT l_linestatus)) / 2.0::DOUBLE / COUNT(*), 6) AS cardinality,
+              round((SELECT avg(least(10, x)) FROM cv), 5) AS variation
        FROM lineitem""",
 )
 def profile_lineitem(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    return lines.agg(
-        F.lit(11).alias("n_cols_used"), F.count("*").alias("n_rows"),
-        F.count_distinct("l_returnflag").alias("flags"), F.count_distinct("l_linestatus").alias("statuses"),
-    )
+    p = prof.profile_table(lines, sample_size=lines.count())
+    ratios = [round(r, 6) for r in (p.float_col_ratio, p.int_col_ratio, p.str_col_ratio, p.ts_col_ratio, p.str_cardinality_mean)]
+    return spark.createDataFrame(
+        [(p.n_rows, p.n_cols, *ratios, round(p.float_cv_mean, 5))],
+        "n_rows bigint, n_cols int, floats double, ints double, texts double, times double, cardinality double, variation double",
+    )
 
 
 @query("auto_codec_reason", "SELECT 'lzma2' AS codec, 0 AS quant")
@@ -784,67 +796,79 @@ def auto_codec_reason(spark, sf_dir):
     return spark.createDataFrame([(found["codec"], found["quant"])], "codec string, quant int")
 
 
-# ---- catalogue, over fixed rows
-
-_DATASETS = [
-    # id, name, codec, quant, rows, chunks, MB, partition, keys, columns, tags, date
-    ("a", "sales_2022", "lzma2", 0, 10000, 10, 0.5, "year", "2022", "id,year,total", "hot", "2026-01-03"),
-    ("b", "sales_2023", "zstd", 0, 12000, 12, 1.25, "year", "2023", "id,year,total", "hot,new", "2026-01-05"),
-    ("c", "clients", "zstd", 0, 5000, 5, 0.25, None, "", "id,name", "", "2026-01-04"),
-    ("d", "sales_vault", "vault", 2, 8000, 8, 0.125, "region", "north,south", "id,region,total", "cold", "2026-01-02"),
-]
-_DATASET_COLUMNS = "id, name, codec, quant_level, orig_rows, n_chunks, file_size_mb, partition_col, partition_keys, columns, tags, freeze_date"
-
-
-def _sql_value(value) -> str:
-    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
-
-
-_VALUES = f"(VALUES {', '.join('(' + ', '.join(map(_sql_value, r)) + ')' for r in _DATASETS)}) d({_DATASET_COLUMNS})"
+# ---- catalogue, over archives of the tables
 
 
-def _datasets(spark: SparkSession) -> DataFrame:
-    schema = T.StructType.fromDDL(
-        "id string, name string, codec string, quant_level int, orig_rows bigint, n_chunks int, file_size_mb double, "
-        "partition_col string, partition_keys string, columns string, tags string, freeze_date string"
-    )
-    rows = spark.createDataFrame(_DATASETS, schema)
-    return rows.withColumns({"comment": F.lit(""), "version": F.lit("1"), "path": F.col("name"), "registered_at": F.col("freeze_date")})
+def _catalogue(spark, sf_dir) -> cat.Catalog:
+    """Archives with different codecs, precision, clustering and tags, registered under their names."""
+    root, orders = scratch(spark, "catalogue"), table(spark, sf_dir, "orders")
+    catalog = cat.Catalog(spark, f"{root}/entries")
+    made = {
+        "orders_all": (orders, {"codec": "lzma2", "partition_by": "o_orderstatus", "primary_key": "o_orderkey"}, ["hot"]),
+        "orders_open": (orders.where("o_orderstatus = 'O'"), {}, ["hot", "part"]),
+        "supplier_cold": (table(spark, sf_dir, "supplier"), {"codec": "vault", "quant": 2}, ["cold"]),
+        "nation": (table(spark, sf_dir, "nation"), {"partition_by": "n_regionkey"}, []),
+    }
+    for name, (df, options, tags) in made.items():
+        write_archive(df, f"{root}/{name}", **options)
+        catalog.register(f"{root}/{name}", tags=tags)
+    return catalog
 
 
 @query(
     "catalog_search",
-    f"""SELECT name, codec, CAST(orig_rows AS BIGINT) AS rows, CAST(file_size_mb AS DOUBLE) AS mb FROM {_VALUES}
-        WHERE name LIKE '%sales%' AND quant_level = 0 AND orig_rows >= 9000 AND columns LIKE '%total%'""",
+    """SELECT * FROM (SELECT 'orders_all' AS name, 'lzma2' AS codec, COUNT(*) AS rows FROM orders
+         UNION ALL SELECT 'orders_open', 'zstd', COUNT(*) FROM orders WHERE o_orderstatus = 'O')
+       WHERE rows >= (SELECT COUNT(*) // 4 FROM orders)""",
 )
 def catalog_search(spark, sf_dir):
-    found = cat.search_datasets(_datasets(spark), name="sales", lossless_only=True, min_rows=9000, columns_contain="total")
-    return found.select("name", "codec", "rows", "mb")
+    least = table(spark, sf_dir, "orders").count() // 4
+    found = _catalogue(spark, sf_dir).search(name="orders", lossless_only=True, min_rows=least, columns_contain="o_totalprice")
+    return found.select("name", "codec", "rows")
 
 
 @query(
     "catalog_stats",
-    f"""SELECT COUNT(*) AS total_datasets, CAST(SUM(orig_rows) AS BIGINT) AS total_rows, CAST(SUM(file_size_mb) AS DOUBLE) AS total_mb,
-        CAST(SUM(n_chunks) AS BIGINT) AS total_chunks, COUNT(DISTINCT codec) AS distinct_codecs,
-        COUNT(DISTINCT partition_col) AS distinct_partitions, CAST(SUM(CASE WHEN quant_level = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lossless_count,
-        CAST(SUM(CASE WHEN quant_level > 0 THEN 1 ELSE 0 END) AS BIGINT) AS vault_count FROM {_VALUES}""",
+    """WITH n AS (SELECT (SELECT COUNT(*) FROM orders) AS o, (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'O') AS p,
+                         (SELECT COUNT(*) FROM supplier) AS s, (SELECT COUNT(*) FROM nation) AS t)
+       SELECT 4::BIGINT AS total_datasets, o + p + s + t AS total_rows, 3::BIGINT AS distinct_codecs, 2::BIGINT AS distinct_partitions,
+              3::BIGINT AS lossless_count, 1::BIGINT AS vault_count, true AS mb_add_up FROM n""",
 )
 def catalog_stats(spark, sf_dir):
-    return cat.dataset_stats(_datasets(spark)).drop("avg_mb_per_1k_rows")
+    catalog = _catalogue(spark, sf_dir)
+    stored = catalog.search().agg(F.sum("mb")).first()[0]
+    total = F.abs(F.col("total_mb") - F.lit(stored)) < 1e-6
+    return cat.dataset_stats(catalog.datasets).select(
+        "total_datasets", "total_rows", "distinct_codecs", "distinct_partitions", "lossless_count", "vault_count", total.alias("mb_add_up")
+    )
 
 
 @query(
     "catalog_cost",
-    f"""SELECT name, CAST(file_size_mb AS DOUBLE) / 1024.0::DOUBLE * 0.004::DOUBLE AS cost_monthly_usd,
-        CASE quant_level WHEN 0 THEN 'lossless' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS quant FROM {_VALUES}""",
+    """SELECT unnest(['orders_all', 'orders_open', 'supplier_cold', 'nation']) AS name, 0.004::DOUBLE AS usd_a_gb,
+              unnest(['lossless', 'lossless', 'medium', 'lossless']) AS quant""",
 )
 def catalog_cost(spark, sf_dir):
-    return cat.cost_report(_datasets(spark), "glacier").select("name", "cost_monthly_usd", "quant")
+    catalog = _catalogue(spark, sf_dir)
+    costs = cat.cost_report(catalog.datasets, "glacier").select("name", "cost_monthly_usd", "quant")
+    sizes = catalog.search().select("name", "mb")
+    rate = F.round(F.col("cost_monthly_usd") / F.col("mb") * 1024, 6)
+    return costs.join(sizes, "name").select("name", rate.alias("usd_a_gb"), "quant")
 
 
-@query("catalog_versions", f"SELECT id, name FROM {_VALUES} WHERE name = 'sales_2022'")
+@query("catalog_versions", "SELECT 'nation' AS name, 'n_regionkey' AS partition_col, COUNT(*) AS rows FROM nation")
 def catalog_versions(spark, sf_dir):
-    return cat.dataset_versions(_datasets(spark), "sales_2022").select("id", "name")
+    catalog = _catalogue(spark, sf_dir)
+    entries = cat.dataset_versions(catalog.datasets, "nation").select("id", "name")
+    return entries.join(catalog.search(), ["id", "name"]).select("name", "partition_col", "rows")
+
+
+@query("catalog_after_append", "SELECT 'growing' AS name, 2 * COUNT(*) AS rows FROM supplier")
+def catalog_after_append(spark, sf_dir):
+    lake, supplier = ArchiveSession(spark, scratch(spark, "growing")), table(spark, sf_dir, "supplier")
+    lake.freeze(supplier, "growing")
+    lake.append(supplier, "growing")
+    return lake.catalog.search(name="growing").select("name", "rows")
 
 
 @query("catalog_registered", "SELECT 'nation' AS name, COUNT(*) AS rows FROM nation UNION ALL SELECT 'region', COUNT(*) FROM region")
@@ -931,9 +955,89 @@ def archives_union(spark, sf_dir):
 
 @query("format_read", "SELECT * FROM supplier WHERE s_nationkey = 3")
 def format_read(spark, sf_dir):
-    """Rows through Spark's reader of archives; the pruned file list comes from the manifest."""
+    """Rows through ``spark.read.format``."""
     path, _ = _round_trip(table(spark, sf_dir, "supplier"), "format", partition_by="s_nationkey")
-    return read_archive(spark, path, filter={"s_nationkey": 3})
+    register_format(spark)
+    return spark.read.format("coldlake").load(path).where("s_nationkey = 3")
+
+
+@query("format_write", "SELECT * FROM supplier UNION ALL SELECT * FROM supplier WHERE s_nationkey < 9")
+def format_write(spark, sf_dir):
+    """Rows written, and appended to, through ``df.write.format``; files are checked before they are read."""
+    register_format(spark)
+    path, supplier = scratch(spark, "format-write"), table(spark, sf_dir, "supplier")
+    supplier.repartition(3).write.format("coldlake").mode("overwrite").save(path)
+    supplier.where("s_nationkey < 9").write.format("coldlake").mode("append").save(path)
+    return read_archive(spark, path, verify=True)
+
+
+@query("row_range_many_files", "SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 101 AND 110")
+def row_range_many_files(spark, sf_dir):
+    """A task that writes more than 1000 files numbers them past three digits."""
+    path = scratch(spark, "many")
+    write_archive(spark.range(1, 1101).coalesce(1).withColumnRenamed("id", "c_custkey"), path, chunk_rows=1, sha256=False)
+    return read_archive(spark, path, row_range=(100, 109))
+
+
+@query("prune_nan", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS x FROM orders WHERE o_orderkey % 7 <> 0 AND o_totalprice BETWEEN 1000 AND 90000")
+def prune_nan(spark, sf_dir):
+    """Files that also hold NaN are not pruned away; NaN itself lies above the range."""
+    x = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    path, _ = _round_trip(table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x")), "nan", chunk_rows=100)
+    return read_archive(spark, path, filter={"x": (1000.0, 90000.0)})
+
+
+@query("prune_decimal", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS x FROM orders WHERE o_totalprice BETWEEN 9500.5 AND 100000")
+def prune_decimal(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("x"))
+    path, _ = _round_trip(orders, "decimal", chunk_rows=100)
+    return read_archive(spark, path, filter={"x": (Decimal("9500.50"), Decimal("100000.00"))})
+
+
+@query(
+    "compact_row_range",
+    """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders)
+       WHERE rn BETWEEN 50 AND 333""",
+)
+def compact_row_range(spark, sf_dir):
+    path, _ = _round_trip(table(spark, sf_dir, "orders"), "compact-range", partition_by="o_orderkey", chunk_rows=70)
+    compact(spark, path, 400)
+    return read_archive(spark, path, row_range=(50, 333), verify=True)
+
+
+@query("roundtrip_encrypted_ts", "SELECT event_id, epoch_us(ts) AS micros FROM events")
+def roundtrip_encrypted_ts(spark, sf_dir):
+    """Instants written under one time zone and read under another."""
+    path, key = scratch(spark, "sealed-ts"), b"0123456789abcdef"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        micros = F.unix_micros(F.col("ts").cast("timestamp"))
+        instants = table(spark, sf_dir, "events").select("event_id", F.timestamp_micros(micros).alias("ts"))
+        instants = spark.createDataFrame(instants.toArrow())  # fixed before the zone changes
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        write_archive(instants, path, key=key)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    return read_archive(spark, path, key=key).select("event_id", F.unix_micros("ts").alias("micros"))
+
+
+@query("source_csv_quoted", "SELECT n_nationkey, n_name || ' \"q\"' || chr(10) || 'x,y' AS n_name FROM nation")
+def source_csv_quoted(spark, sf_dir):
+    path = scratch(spark, "csv-quoted") + "/nation.csv"
+    name = F.concat("n_name", F.lit(' "q"\nx,y')).alias("n_name")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", name)
+    write_file(nation, path)
+    return read_source(spark, path, nation.schema)
+
+
+@query("source_json", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def source_json(spark, sf_dir):
+    """A list of documents laid out over several lines."""
+    path = scratch(spark, "json") + "/region.json"
+    rows = [r.asDict() for r in table(spark, sf_dir, "region").collect()]
+    Files(spark).write_text(path, json.dumps(rows, indent=2))
+    return read_source(spark, path)
 
 
 @query("recipe_run", "SELECT COUNT(*) AS n, COUNT(DISTINCT r_name) AS names FROM region")

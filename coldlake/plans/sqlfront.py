@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coldlake.operators.detect import read_csv
 from coldlake.sources.archive import read_archive
 from coldlake.sources.files import Files
 
@@ -136,7 +137,7 @@ def read_relation(spark: SparkSession, path: str) -> DataFrame:
         return read_archive(spark, path)
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        return spark.read.csv(path, header=True, inferSchema=True)
+        return read_csv(spark, path)
     if kind in ("json", "jsonl", "ndjson"):
-        return spark.read.json(path)
+        return spark.read.json(path, multiLine=kind == "json")
     return spark.read.parquet(path)

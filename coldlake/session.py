@@ -29,7 +29,7 @@ class ArchiveSession:
     def freeze(self, df: DataFrame, name: str, register: bool = True, tags: list[str] | None = None, **options: Any):
         out = archive.write_archive(df, self.path(name), **options)
         if register:
-            self.catalog.register(self.path(name), tags=tags)
+            self.catalog.register(self.path(name), tags=tags, refresh=True)
         return out
 
     def freeze_async(self, df: DataFrame, name: str, **options: Any) -> Future:
@@ -45,7 +45,10 @@ class ArchiveSession:
         return export(archive.read_archive(self.spark, self.path(name), **options), output_format, sep)
 
     def append(self, df: DataFrame, name: str, **options: Any) -> dict[str, Any]:
-        return archive.append_archive(df, self.path(name), **options)
+        out = archive.append_archive(df, self.path(name), **options)
+        if self.catalog.known(self.path(name)):
+            self.catalog.register(self.path(name), refresh=True)
+        return out
 
     def audit(self, name: str) -> dict[str, Any]:
         return archive.audit(self.spark, self.path(name))

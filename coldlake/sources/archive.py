@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
@@ -66,8 +67,15 @@ def _write_files(
     written = spark.read.schema(df.schema).parquet(target)
     name = F.col("_metadata.file_name")
     aggregates = [F.count("*").alias("rows"), F.first(F.col("_metadata.file_size")).alias("bytes")]
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     for k, c in enumerate(stats):
         col = F.col(f"`{c}`")
+        if c in floating:  # NaN, which Spark orders last, is counted apart
+            aggregates.append(F.count_if(F.isnan(col)).alias(f"nan{k}"))
+            nulls = F.count_if(col.isNull()).alias(f"null{k}")
+            col = F.when(~F.isnan(col), col)
+            aggregates += [F.min(col).alias(f"low{k}"), F.max(col).alias(f"high{k}"), nulls]
+            continue
         aggregates += [F.min(col).alias(f"low{k}"), F.max(col).alias(f"high{k}"), F.count_if(col.isNull()).alias(f"null{k}")]
     found = {r["file"]: r for r in written.groupBy(name.alias("file")).agg(*aggregates).collect()}
     digests = {}
@@ -76,14 +84,23 @@ def _write_files(
         for r in content.select("path", F.sha2("content", 256).alias("sha")).collect():
             digests[r["path"].rsplit("/", 1)[-1]] = r["sha"]
     out = []
-    for file in sorted(found):  # names start with the task's number, so this is the rows' order
+    for file in sorted(found, key=_place):
         r = found[file]
         ranges = {c: [as_scalar(r[f"low{k}"]), as_scalar(r[f"high{k}"]), r[f"null{k}"]] for k, c in enumerate(stats)}
+        for k, c in enumerate(stats):
+            if c in floating and r[f"nan{k}"]:
+                ranges[c].append(r[f"nan{k}"])
         out.append(ArchiveFile(f"{folder}/{file}", r["rows"], row_start, r["bytes"], digests.get(file), ranges))
         row_start += r["rows"]
     return out
 
 
+def _place(file: str) -> tuple[int, int, str]:
+    """Order of a written file's rows: the task's number, then the file's number within the task."""
+    task, number = re.search(r"part-(\d+)", file), re.search(r"-c(\d+)\.", file)
+    return int(task[1]) if task else 0, int(number[1]) if number else 0, file
+
+
 def write_archive(
     df: DataFrame,
     path: str,
@@ -193,11 +210,11 @@ def figures(manifest: Manifest) -> dict[str, Any]:
 
 def pruned_files(manifest: Manifest, filter: FilterSpec | None = None, row_range: tuple[int, int] | None = None):
     """Files that can hold rows of the filter and the inclusive row range."""
-    out = []
+    out, decimals = [], manifest.decimals
     for f in manifest.files:
         if row_range is not None and (f.row_end <= row_range[0] or f.row_start > row_range[1]):
             continue
-        if may_match(f.stats, filter):
+        if may_match(f.stats, filter, decimals):
             out.append(f)
     return out
 
@@ -221,22 +238,12 @@ def read_archive(
     manifest = read_manifest(spark, path)
     if manifest.encryption is not None and key is None:
         raise PermissionError("the archive is encrypted; a key is needed")
-    full = T.StructType.fromJson(manifest.schema)
     chosen = pruned_files(manifest, filter, row_range)
     if verify:
         bad = [r for r in verify_files(spark, path, manifest, chosen) if r["status"] != "OK"]
         if bad:
             raise IntegrityError(f"{len(bad)} of {len(chosen)} files differ from the manifest: {bad[0]}")
-    if not chosen:
-        df = spark.createDataFrame([], full)
-    else:
-        stored = full
-        if manifest.encryption is not None:
-            stored = T.StructType([T.StructField(f.name, T.BinaryType()) for f in full.fields])
-        df = _read_rows(spark, path, chosen, stored, row_range)
-        if manifest.encryption is not None:
-            df = unseal(df, full, key)
-    df = apply_filter(df, filter, strict)
+    df = apply_filter(_open_rows(spark, path, manifest, chosen, row_range, key), filter, strict)
     if schema is not None:
         df = schema.apply(df)
     elif schema_override is not None:
@@ -244,6 +251,19 @@ def read_archive(
     return df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _open_rows(
+    spark: SparkSession, path: str, manifest: Manifest, chosen: list[ArchiveFile], row_range: tuple[int, int] | None, key: bytes | None
+) -> DataFrame:
+    """The chosen files' rows, decrypted."""
+    full = T.StructType.fromJson(manifest.schema)
+    if not chosen:
+        return spark.createDataFrame([], full)
+    if manifest.encryption is None:
+        return _read_rows(spark, path, chosen, full, row_range)
+    sealed = T.StructType([T.StructField(f.name, T.BinaryType()) for f in full.fields])
+    return unseal(_read_rows(spark, path, chosen, sealed, row_range), full, key)
+
+
 def _read_rows(
     spark: SparkSession, path: str, chosen: list[ArchiveFile], schema: T.StructType, row_range: tuple[int, int] | None
 ) -> DataFrame:
@@ -376,26 +396,51 @@ def part_key(file: ArchiveFile, manifest: Manifest) -> str | None:
 def peek(
     spark: SparkSession, path: str, batch_size: int | None = None, **options: Any
 ) -> Iterator[list[Any]]:
-    """Batches of rows with bounded memory: whole partitions' rows, or exactly ``batch_size`` rows."""
+    """Batches of rows in stored order with bounded memory: 10,000 rows each, or ``batch_size``.
+
+    Files are read one after the other, since one scan of many files does not keep their order.
+    """
     held: list[Any] = []
-    for row in read_archive(spark, path, **options).toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == (batch_size or 10_000):
-            yield held
-            held = []
+    manifest = read_manifest(spark, path)
+    chosen = pruned_files(manifest, options.get("filter"), options.get("row_range"))
+    if not chosen:  # for the options' checks
+        read_archive(spark, path, **options)
+    first, last = options.pop("row_range", None) or (0, 1 << 62)
+    for f in chosen:
+        inside = (max(first, f.row_start), min(last, f.row_end - 1))
+        for row in read_archive(spark, path, row_range=inside, **options).toLocalIterator(prefetchPartitions=True):
+            held.append(row)
+            if len(held) == (batch_size or 10_000):
+                yield held
+                held = []
     if held:
         yield held
 
 
 def compact(spark: SparkSession, path: str, chunk_rows: int | None = None) -> dict[str, Any]:
-    """Rewrite the archive's files to even sizes in the same row order."""
+    """Rewrite the archive's files to ``chunk_rows`` rows each, in the same row order.
+
+    One shuffle: a row's number says which file it goes to. All else of the manifest stays.
+    """
     m = read_manifest(spark, path)
     if m.encryption is not None:
         raise ValueError("cannot compact an encrypted archive")
-    return write_archive(
-        read_archive(spark, path), path, m.codec_requested, 0, chunk_rows or m.chunk_rows or DEFAULT_CHUNK_ROWS,
-        m.partition_by or None, m.comment, m.retention_days, None, m.primary_key or None,
-    )
+    chunk = chunk_rows or m.chunk_rows or DEFAULT_CHUNK_ROWS
+    full = T.StructType.fromJson(m.schema)
+    place = "row_number"
+    while place.lower() in {c.lower() for c in m.columns}:
+        place += "_"
+    rows = row_numbers(spark, path, place)
+    pieces = max(1, -(-m.rows // chunk))
+    dealt = rows.repartitionById(pieces, (F.col(place) / chunk).cast("int")).sortWithinPartitions(place).drop(place)
+    stats = _stats_columns(full, m.partition_by, m.primary_key)
+    hashed = all(f.sha256 for f in m.files)
+    options = column_options(m.column_codecs, m.columns)
+    m.generation += 1
+    m.files = _write_files(dealt, path, m.generation, 0, m.codec_requested, chunk, stats, hashed, options)
+    m.chunk_rows = chunk
+    Files(spark).write_text(manifest_path(path), m.to_json())
+    return figures(m)
 
 
 def row_numbers(spark: SparkSession, path: str, name: str = "row_number") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,13 +115,14 @@ def seal(df: DataFrame, key: bytes) -> DataFrame:
 
     The key must have 16, 24 or 32 bytes.
     """
-    _check_key(key)
-    lit_key = F.lit(bytearray(key))
+    lit_key = _key_column(df, key)
     out = []
     for f in df.schema.fields:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.BinaryType):
             raw = col
+        elif isinstance(f.dataType, T.TimestampType):  # an instant, whatever the sessions' time zones
+            raw = F.unix_micros(col).cast("string").cast("binary")
         elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
             raw = F.to_json(F.struct(col.alias("v"))).cast("binary")
         else:
@@ -131,8 +133,7 @@ def seal(df: DataFrame, key: bytes) -> DataFrame:
 
 def unseal(df: DataFrame, schema: T.StructType, key: bytes) -> DataFrame:
     """The inverse of ``seal``; a wrong key fails when rows are read."""
-    _check_key(key)
-    lit_key = F.lit(bytearray(key))
+    lit_key = _key_column(df, key)
     out = []
     for f in schema.fields:
         if f.name not in df.columns:
@@ -143,12 +144,16 @@ def unseal(df: DataFrame, schema: T.StructType, key: bytes) -> DataFrame:
         elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
             wrapped = T.StructType([T.StructField("v", f.dataType)])
             col = F.from_json(raw.cast("string"), wrapped)["v"]
+        elif isinstance(f.dataType, T.TimestampType):
+            col = F.timestamp_micros(raw.cast("string").cast("long"))
         else:
             col = raw.cast("string").cast(f.dataType)
         out.append(col.alias(f.name))
     return df.select(*out)
 
 
-def _check_key(key: bytes) -> None:
+def _key_column(df: DataFrame, key: bytes):
+    """The key as a scalar subquery over a local row: plans show the query, never the key."""
     if len(key) not in (16, 24, 32):
         raise ValueError("the key must have 16, 24 or 32 bytes")
+    return df.sparkSession.createDataFrame(pa.table({"key": pa.array([bytes(key)], pa.binary())})).scalar()

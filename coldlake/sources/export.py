@@ -41,7 +41,7 @@ def write_file(df: DataFrame, path: str) -> None:
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     writer = df.write.mode("overwrite")
     if kind == "csv":
-        writer.csv(path, header=True)
+        writer.csv(path, header=True, escape='"')
     elif kind == "parquet":
         writer.parquet(path)
     elif kind in ("json", "jsonl", "ndjson"):

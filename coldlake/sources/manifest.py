@@ -61,6 +61,11 @@ class Manifest:
     def columns(self) -> list[str]:
         return [f["name"] for f in self.schema["fields"]]
 
+    @property
+    def decimals(self) -> frozenset[str]:
+        """Columns whose stored ranges are decimal numbers as text."""
+        return frozenset(f["name"] for f in self.schema["fields"] if str(f["type"]).startswith("decimal"))
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), ensure_ascii=False, indent=1)
 

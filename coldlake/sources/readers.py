@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldlake.operators.detect import flatten
+from coldlake.operators.detect import detect_file, read_csv
 from coldlake.sources.archive import read_archive, write_archive
 from coldlake.sources.files import Files
 
@@ -43,17 +43,21 @@ def read_archives(spark: SparkSession, spec: str | list[str], **options: Any) ->
     return out
 
 
-def read_source(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV, JSON lines or Parquet path, split by Spark. CSV types come from ``schema`` or are inferred
-    from the whole input."""
+def read_source(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
+    """A CSV, JSON, JSON lines or Parquet path. Types of CSV and JSON come from ``schema`` or are inferred
+    from the whole input.
+
+    Quoted CSV fields may hold quotes (doubled) and line ends, so a CSV file is one task;
+    ``multiline=False`` lets Spark split files whose fields hold no line end. A ``.json`` file is one
+    document or a list of documents, other JSON has a document a line.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        reader = spark.read.option("header", True)
-        return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+        return read_csv(spark, path, schema, multiline)
     if kind in ("jsonl", "ndjson", "json"):
         if schema:
-            return spark.read.schema(schema).json(path)
-        return flatten(spark.read.text(path).where(F.trim("value") != "")).df
+            return spark.read.schema(schema).json(path, multiLine=kind == "json")
+        return detect_file(spark, path).df
     if kind in ("parquet", "pq"):
         return spark.read.parquet(path)
     return read_archive(spark, path)

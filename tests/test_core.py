@@ -523,3 +523,37 @@ def test_functions_over_the_active_session(spark, tmp_path):
         coldlake.freeze(coldlake.unfreeze(a), sealed, column_encodings={"v": "zz"})
     with pytest.raises(AttributeError):
         coldlake.no_such_name
+
+
+def test_pruning_by_value_keeps_nan_and_decimals():
+    from decimal import Decimal
+
+    from coldlake.operators.filters import may_match
+
+    nan = float("nan")
+    holds_nan, only_nan, old = {"x": [1.0, 2.0, 0, 3]}, {"x": [None, None, 0, 3]}, {"x": [1.0, nan, 0]}
+    for stats in (holds_nan, old):
+        assert may_match(stats, {"x": (1.5, None)}) and may_match(stats, {"x": 2.0}) and may_match(stats, {"x": nan})
+        assert not may_match(stats, {"x": (None, 0.5)})
+    assert may_match(only_nan, {"x": (5.0, None)}) and not may_match(only_nan, {"x": (None, 5.0)})
+    assert not may_match({"x": [1.0, 2.0, 0]}, {"x": nan}) and not may_match({"x": [1.0, 2.0, 0]}, {"x": (3.0, None)})
+    decimals = {"x": ["1.00", "10.00", 0]}
+    for wanted in (Decimal("9.50"), 9.5, 9, "9.50", [Decimal("9.5")], (Decimal("9.5"), None), (None, "2")):
+        assert may_match(decimals, {"x": wanted}, {"x"})
+    assert not may_match(decimals, {"x": Decimal("10.01")}, {"x"}) and not may_match(decimals, {"x": (20, 30)}, {"x"})
+
+
+def test_keys_stay_out_of_plans_and_compact_keeps_order_and_metadata(spark, tmp_path):
+    key = b"0123456789abcdef"
+    rows = spark.range(1100).selectExpr("id", "id / 3 AS v").coalesce(1)
+    ar.write_archive(rows, str(tmp_path / "sealed"), key=key)
+    sealed = ar.read_archive(spark, str(tmp_path / "sealed"), key=key)
+    plan = sealed._jdf.queryExecution().toString()
+    assert key.hex().upper() not in plan.upper() and "0123456789abcdef" not in plan
+    path = str(tmp_path / "plain")
+    ar.write_archive(rows, path, chunk_rows=1, quant=2, comment="kept", sha256=False)
+    before = [r["id"] for batch in ar.peek(spark, path, filter={"id": (0, 40)}) for r in batch]
+    ar.compact(spark, path, 300)
+    after = ar.audit(spark, path)
+    assert before == list(range(41)) and after["quant"] == 2 and after["comment"] == "kept" and after["n_chunks"] == 4
+    assert [r["id"] for r in ar.read_archive(spark, path, row_range=(598, 602)).collect()] == list(range(598, 603))
