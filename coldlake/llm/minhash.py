@@ -8,9 +8,12 @@
    these edges hold all candidate pairs.
 4. Within a component, sets are compared in blocks of bounded rows and weight. A component of one
    block is one local comparison. A larger one is first compared along the diagonal and with its
-   first block (work in proportion to its size); then blocks that lie inside one linked group are
-   not compared with each other any more, and all other pairs of blocks are. So no link between
-   different groups is lost, and large groups of near copies do not cost all their pairs.
+   first block (work in proportion to its size). Then only nodes that share a bucket and are not yet
+   in one linked group are compared, bucket by bucket, or the component's blocks with each other
+   where that is less work; blocks whose sizes cannot fit are left out. So no link between different
+   groups is lost, large groups of near copies do not cost all their pairs, and a long chain of
+   weakly similar texts costs in proportion to its length, as its buckets are small. What is left
+   is a single bucket of many unlinked texts of like size, which costs its pairs.
 5. Comparisons emit the links of a spanning forest, of which components are taken again.
 
 Every link is confirmed on the full sets: 100 x intersection >= 100 x similarity x union. Shingles
@@ -22,12 +25,13 @@ has no other. Rows that share id and set are one document. Other columns do not
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldlake.llm import exact
@@ -253,7 +257,7 @@ def near_duplicate_groups(
     links = materialise(links, "links")
     large = members.where("blocks > 1")
     if not weights.where("blocks > 1").isEmpty():
-        links = links.unionByName(_large_parts(large, weights.where("blocks > 1"), percent))
+        links = links.unionByName(_large_parts(large, weights.where("blocks > 1"), nodes.select("node", "bands"), percent))
     linked = connected_components(links)
 
     # a node's component, then its smallest id, then all rows with the node's set
@@ -281,8 +285,8 @@ def near_duplicate_groups(
     )
 
 
-def _large_parts(members: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
-    """Links of the parts of several blocks; ``members`` is read twice."""
+def _large_parts(members: DataFrame, weights: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """Links of the parts of several blocks; ``members`` is read twice, ``bands`` has node and bands."""
     spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
     dealt = members.withColumn("block", spread)
     diagonal = weights.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("high"))
@@ -292,24 +296,73 @@ def _large_parts(members: DataFrame, weights: DataFrame, percent: int) -> DataFr
     found = materialise(_compare(dealt, pairs, percent), "diagonal")
     groups = connected_components(found)
 
-    # blocks anew: a large linked group has blocks of its own (tag), all other nodes share blocks
-    tagged = members.select("node", "part", "n").join(groups, "node", "left")
-    sizes = tagged.where("component IS NOT NULL").groupBy("component").agg(F.count("*").alias("held"))
+    # a large linked group has a tag of its own, all other nodes share one
+    tagged = members.select("node", "part", "n").join(groups, "node", "left").join(bands, "node")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("held"))
     tagged = tagged.join(sizes.where(F.col("held") >= LARGE_GROUP).select("component", F.lit(True).alias("big")), "component", "left")
     tag = F.when(F.col("big"), F.col("component")).otherwise(F.lit(-1))
-    tagged = materialise(tagged.select("node", "part", "n", tag.alias("tag")), "tagged")
-    counts = tagged.groupBy("part", "tag").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
-    pieces = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES))
-    counts = materialise(counts.select("part", "tag", pieces.alias("pieces")), "pieces")
-    block = F.xxhash64("tag", F.pmod(F.xxhash64("node"), F.col("pieces")))
-    where = tagged.join(counts, ["part", "tag"]).select("node", block.alias("block"))
-    dealt = members.join(where, "node")
-    table = counts.select("part", "tag", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("k"))
-    table = table.select("part", "tag", F.xxhash64("tag", "k").alias("block"))
-    other = table.select("part", F.col("tag").alias("tag2"), F.col("block").alias("high"))
-    pairs = table.withColumnRenamed("block", "low").join(other, "part")
-    pairs = pairs.where("low <= high AND (tag != tag2 OR tag = -1)").select("part", "low", "high")
-    return found.unionByName(materialise(_compare(dealt, materialise(pairs, "pairs"), percent), "crossed"))
+    own = F.coalesce("component", "node")
+    tagged = materialise(tagged.select("node", "part", "n", tag.alias("tag"), own.alias("own"), "bands"), "tagged")
+
+    cells = _cells(tagged, percent)
+    counts = cells.groupBy("cell", "tag", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    counts = materialise(counts.select("cell", "tag", "class", _pieces().alias("pieces")), "pieces")
+    block = F.xxhash64("tag", "class", F.pmod(F.xxhash64("node"), F.col("pieces")))
+    where = cells.join(counts, ["cell", "tag", "class"]).select("node", F.col("cell").alias("part"), block.alias("block"))
+    dealt = members.select("node", "n", "hashes").join(where, "node")
+    table = counts.select("cell", "tag", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("k"))
+    table = table.select(F.col("cell").alias("part"), "tag", "class", F.xxhash64("tag", "class", "k").alias("low"))
+    other = table.select("part", F.col("tag").alias("tag2"), F.col("class").alias("class2"), F.col("low").alias("high"))
+    pairs = table.join(other, "part").where("low <= high AND (tag != tag2 OR tag = -1) AND abs(class - class2) <= 1")
+    pairs = materialise(pairs.select("part", "low", "high"), "pairs")
+    return found.unionByName(materialise(_compare(dealt, pairs, percent), "crossed"))
+
+
+def _pieces() -> Column:
+    """Blocks for so many rows of so much weight."""
+    return F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+
+
+def _cells(tagged: DataFrame, percent: int) -> DataFrame:
+    """Rows (cell, node, n, tag, class): nodes that share a cell may be linked, all others not.
+
+    The cells of a part are either its buckets, without those inside one linked group and those that
+    hold the same nodes as another, or the part as a whole, whichever costs fewer comparisons. Sets
+    of linked nodes lie in the same or in neighbouring size classes. Cells of one block have one
+    tag and class.
+    """
+    # a bit wider than the ratio, so that rounding never puts linked sizes two classes apart
+    size_class = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
+    rows = tagged.withColumn("class", size_class.cast("long"))
+    spread = rows.withColumn("key", F.explode("bands")).drop("bands")
+    held = spread.groupBy("part", "key").agg(
+        F.count("*").alias("rows"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("mark"),
+        F.min("own").alias("least"), F.max("own").alias("most"),
+    )
+    held = held.where("least != most").groupBy("part", "rows", "weight", "mark").agg(F.min("key").alias("key"))
+    held = materialise(held.select("key", (_pieces() == 1).alias("small")), "held")
+    wide = rows.select("part", "node", "n", "tag", "class", F.col("part").alias("cell"), F.lit(False).alias("small"))
+    narrow = spread.join(held, "key").select("part", "node", "n", "tag", "class", F.col("key").alias("cell"), "small")
+
+    def cost(cells: DataFrame, name: str) -> DataFrame:
+        of_tag = cells.groupBy("part", "cell", "tag").agg(F.count("*").cast("double").alias("k"))
+        of_tag = of_tag.groupBy("part", "cell").agg(
+            F.sum("k").alias("all"), F.sum(F.when(F.col("tag") != -1, F.col("k") * F.col("k")).otherwise(0.0)).alias("within")
+        )
+        return of_tag.groupBy("part").agg(F.sum(F.col("all") * F.col("all") - F.col("within")).alias(name))
+
+    costs = cost(wide, "whole").join(cost(narrow, "buckets"), "part", "left")
+    costs = materialise(costs.select("part", (F.coalesce("buckets", F.lit(0.0)) <= F.col("whole")).alias("by_bucket")), "costs")
+    chosen = wide.join(costs.where("NOT by_bucket"), "part").unionByName(narrow.join(costs.where("by_bucket"), "part"))
+    one = F.col("small")
+    return materialise(
+        chosen.select(
+            "cell", "node", "n",
+            F.when(one, F.lit(-1)).otherwise(F.col("tag")).cast("long").alias("tag"),
+            F.when(one, F.lit(0)).otherwise(F.col("class")).cast("long").alias("class"),
+        ),
+        "cells",
+    )
 
 
 def drop_near_duplicates(

@@ -60,6 +60,34 @@ def test_brute_force(spark, monkeypatch, seed, size, block_rows):
     assert sorted(map(str, (tuple(r) for r in got))) == want
 
 
+def test_chain_costs_its_length(spark, monkeypatch):
+    """A component of weakly similar texts in a chain is compared bucket by bucket, with all links found."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(minhash, "LARGE_GROUP", 16)
+    compare, costs, results = minhash._compare, {}, {}
+    draw = random.Random(5)
+
+    def counted(members, pairs, percent):
+        if pairs is not None:
+            seen.append(pairs.count())
+        return compare(members, pairs, percent)
+
+    monkeypatch.setattr(minhash, "_compare", counted)
+    for n in (150, 600):
+        line = ["c%d" % draw.randrange(10**6) for _ in range(12 * n + 100)]
+        rows = [(k, " ".join(line[12 * k : 12 * k + 80])) for k in range(n)]
+        # some steps of the chain are links
+        rows += [(5000 + k, " ".join(line[12 * k + 4 : 12 * k + 80])) for k in range(0, n, 10)]
+        seen = []
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicate_groups(docs, size=4).collect()}
+        costs[n] = sum(seen)
+        if n == 150:
+            assert got == {i: c for (i, _), (_, c) in zip(rows, brute(rows, 4))}
+        assert all(got[5000 + k] == k for k in range(0, n, 10))
+    assert costs[150] > 0 and costs[600] < 6 * costs[150]
+
+
 def test_filter_keeps_one_of_each_group(spark):
     rows = [(k, t, "x", k) for k, t in corpus(3) if k is not None and k != 3]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string, hit int")
