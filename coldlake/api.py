@@ -15,7 +15,6 @@ from coldlake.operators.contract import Contract
 from coldlake.plans.sqlfront import SqlFront, read_relation
 from coldlake.sources import archive, readers
 from coldlake.sources.export import export
-from coldlake.sources.files import Files
 from coldlake.sources.keys import KeyProvider, resolve_key
 
 _fronts: dict[int, SqlFront] = {}
@@ -93,17 +92,9 @@ def freeze_stream(batches: Iterable[Any], target: str, **options: Any) -> dict[s
     return readers.freeze_stream(active_session(), batches, target, **options)
 
 
-def copy_archive(source: str, target: str, check: bool = True) -> None:
+def copy_archive(source: str, target: str, check: bool = True, attempts: int = 3) -> None:
     """Copy an archive between stores, manifest last; ``check`` compares the copies' digests."""
-    spark = active_session()
-    files, manifest = Files(spark), archive.read_manifest(spark, source)
-    for f in manifest.files:
-        files.copy(f"{source.rstrip('/')}/{f.name}", f"{target.rstrip('/')}/{f.name}")
-    if check:
-        bad = [r for r in archive.verify_files(spark, target, manifest) if r["status"] not in ("OK", "NOT_HASHED")]
-        if bad:
-            raise archive.IntegrityError(f"{len(bad)} copied files differ: {bad[0]}")
-    files.write_text(archive.manifest_path(target), manifest.to_json())
+    archive.transfer(active_session(), source, target, check, attempts)
 
 
 def diff(path_v1: str, path_v2: str, on: str | list[str] | None = None, **options: Any) -> Any:

@@ -69,13 +69,30 @@ def json_keys(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(F.col(f"`{column}`"))).alias("key")).distinct()
 
 
-def compact_json(df: DataFrame, column: str, keys: list[str], out: str = "compact") -> DataFrame:
-    """``df`` with the objects' keys replaced by their numbers in ``keys``, as map<int,string>."""
-    numbers = F.create_map(*[F.lit(x) for k, key in enumerate(keys) for x in (key, k)])
-    parsed = F.from_json(F.col(f"`{column}`"), T.MapType(T.StringType(), T.StringType()))
+def compact_json(df: DataFrame, column: str, keys: list[str] | None = None, out: str = "compact", typed: bool = False) -> DataFrame:
+    """``df`` with the objects' keys replaced by their numbers in ``keys``, as map<int,string>.
+
+    Without ``keys`` they are all keys of the column, sorted. ``typed`` keeps values as variants, so
+    that ``expand_json`` gives back numbers, texts, nulls and nested values as they were.
+    """
+    keys = key_list(df, column) if keys is None else keys
+    numbers = F.map_from_arrays(F.lit(list(keys)).cast("array<string>"), F.sequence(F.lit(0), F.lit(len(keys) - 1)) if keys else F.array().cast("array<int>"))
+    parsed = F.from_json(F.col(f"`{column}`"), T.MapType(T.StringType(), T.VariantType() if typed else T.StringType()))
     return df.withColumn(out, F.transform_keys(parsed, lambda k, _: F.element_at(numbers, k)))
 
 
+def key_list(df: DataFrame, column: str) -> list[str]:
+    """The distinct keys of the JSON objects in ``column``, sorted; a schema's worth, so few."""
+    return sorted(r["key"] for r in json_keys(df, column).collect())
+
+
+def expand_json(df: DataFrame, column: str, keys: list[str], out: str = "json") -> DataFrame:
+    """The inverse of ``compact_json``: JSON objects from maps by number."""
+    names = F.lit(list(keys)).cast("array<string>")
+    named = F.transform_keys(F.col(f"`{column}`"), lambda k, _: F.element_at(names, k + 1))
+    return df.withColumn(out, F.to_json(named, {"ignoreNullFields": "false"}))
+
+
 def csv_bytes(df: DataFrame) -> int:
     """Bytes of ``df`` as CSV with a header, computed in one aggregation without writing it."""
     flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]

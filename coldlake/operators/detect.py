@@ -81,7 +81,7 @@ def top_tokens(df: DataFrame, column: str, size: int = DICT_SIZE) -> DataFrame:
 
 
 def _dated(df: DataFrame, column: str) -> bool:
-    """Whether all non-null values (at least one) of the sample are dates or times."""
+    """Whether all non-null values (at least one) are dates or times."""
     text = F.col(f"`{column}`")
     date = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
     ok = date & F.try_to_timestamp(text).isNotNull()
@@ -89,13 +89,38 @@ def _dated(df: DataFrame, column: str) -> bool:
     return n > 0 and n == good
 
 
+def _confirmed(text: DataFrame, fields: list[T.StructField]) -> list[T.DataType]:
+    """The types of the fields in all documents, from the sampled ones."""
+    plain = [f for f in fields if not isinstance(f.dataType, T.StringType)]
+    if not plain:
+        return [f.dataType for f in fields]
+    typed = F.from_json("__doc", T.StructType(plain))
+    raw = F.from_json("__doc", T.StructType([T.StructField(f.name, T.StringType()) for f in plain]))
+    # lost: a value that the sampled type cannot hold; odd: one that is no number either
+    counts = [
+        F.struct(
+            F.count_if(F.col("raw")[f.name].isNotNull() & F.col("typed")[f.name].isNull()),
+            F.count_if(F.col("raw")[f.name].isNotNull() & F.col("raw")[f.name].try_cast("double").isNull()),
+        )
+        for f in plain
+    ]
+    found = text.select(typed.alias("typed"), raw.alias("raw")).agg(*counts).first()
+    wider = {}
+    for f, (lost, odd) in zip(plain, found):
+        if lost:
+            number = isinstance(f.dataType, T.NumericType) and not odd
+            wider[f.name] = T.DoubleType() if number else T.StringType()
+    return [wider.get(f.name, f.dataType) for f in fields]
+
+
 def flatten(documents: DataFrame, column: str = "value", sample_docs: int = SAMPLE_DOCS, coerce_dates: bool = True) -> Detected:
-    """Columns from JSON object texts. Types and presence come from the first ``sample_docs`` documents
-    (the feature is a sample); all documents are read with the schema found.
+    """Columns from JSON object texts. Fields and their presence come from the first ``sample_docs``
+    documents (the feature is a sample); one aggregation over all documents then confirms their types.
 
-    Fields below MIN_PRESENCE are dropped. Scalars keep their type (mixed ones become text), texts of
-    which every sampled value is a date become timestamps, arrays and objects become JSON text, absent
-    ones ``null``.
+    Fields below MIN_PRESENCE are dropped. Scalars keep their type; where a later document holds a value
+    of another type they become doubles if all are numbers, else text. Texts of which every value is a
+    date become timestamps, arrays and objects become JSON text, absent ones ``null``. Token
+    dictionaries count all documents.
     """
     spark = documents.sparkSession
     text = documents.select(F.col(f"`{column}`").alias("__doc"))
@@ -105,10 +130,11 @@ def flatten(documents: DataFrame, column: str = "value", sample_docs: int = SAMP
     counts = {r["name"]: r["n"] for r in field_census(rows, "__doc").collect()}
     inferred = spark.read.json(rows.select("__doc").rdd.map(lambda r: r[0])).schema if n else T.StructType()
     kept = [f for f in inferred.fields if counts.get(f.name, 0) >= MIN_PRESENCE * n]
+    kept = [T.StructField(f.name, t) for f, t in zip(kept, _confirmed(text, kept))]
     fields = []
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept])
     parsed = text.select(F.from_json("__doc", schema).alias("d")) if kept else text
-    head = rows.select(F.from_json("__doc", schema).alias("d")).select("d.*") if kept else rows
+    every = parsed.select("d.*") if kept else text
     out = []
     for f in kept:
         col, kind = F.col("d")[f.name], field_kind(f.dataType)
@@ -118,10 +144,10 @@ def flatten(documents: DataFrame, column: str = "value", sample_docs: int = SAMP
             if kind is FieldKind.ARRAY and isinstance(f.dataType.elementType, T.StringType):
                 values = F.col(f"`{f.name}`")
                 short = (F.size(values) <= 20) & F.forall(values, lambda x: F.length(x) <= 50)
-                if not head.where(values.isNotNull() & ~short).limit(1).count():
-                    strategy, tokens = "json_arr_dict", [r["token"] for r in top_tokens(head, f.name).collect()]
+                if not every.where(values.isNotNull() & ~short).limit(1).count():
+                    strategy, tokens = "json_arr_dict", [r["token"] for r in top_tokens(every, f.name).collect()]
             col = F.coalesce(F.to_json(col), F.lit("null"))
-        elif coerce_dates and isinstance(f.dataType, T.StringType) and _dated(head, f.name):
+        elif coerce_dates and isinstance(f.dataType, T.StringType) and _dated(every, f.name):
             col, strategy, dtype = F.try_to_timestamp(col).cast("timestamp_ntz"), "timestamp", "timestamp_ntz"
         out.append(col.alias(f.name))
         fields.append(FieldInfo(f.name, kind, strategy, presence, presence < 1, dtype, tokens))

@@ -20,6 +20,8 @@ from coldlake.operators.contract import Contract, Field, evolve, schema_diff
 from coldlake.operators.detect import field_census, flatten, tabular, top_tokens
 from coldlake.operators.diff import diff_positional, diff_tables
 from coldlake.operators.filters import apply_filter
+from coldlake.operators.jobs import JobRunner
+from coldlake.operators.rangejoin import interval_join
 from coldlake.operators.recipes import parse_recipe, run_recipe
 from coldlake.plans.catalogue import ORACLES, QUERIES, query
 from coldlake.plans.sqlfront import SqlFront
@@ -37,7 +39,9 @@ from coldlake.sources.archive import (
 from coldlake.sources.codecs import quantise
 from coldlake.sources.export import write_file
 from coldlake.sources.readers import RangeSource, read_archives, read_source
-from coldlake.streaming.ingest import sessions, tumbling
+from coldlake.sources.cache import ArchiveCache
+from coldlake.sources.keys import EnvelopeKey, SparkKeyService, generate_key
+from coldlake.streaming.ingest import sessions, stream_to_table, tumbling
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -1072,3 +1076,137 @@ def compacted(spark, sf_dir):
     path, _ = _round_trip(table(spark, sf_dir, "supplier"), "compact", chunk_rows=7)
     compact(spark, path, 1000)
     return read_archive(spark, path, verify=True)
+
+
+# ---- joins over ranges and correlated subqueries, functions, jobs, streams, caches and wrapped keys
+
+
+@query(
+    "join_interval",
+    """SELECT s_suppkey, COUNT(*) AS n, MIN(event_id) AS first_event FROM events JOIN supplier
+       ON value >= s_suppkey % 90 AND value < s_suppkey % 90 + s_suppkey % 7 + 0.5 GROUP BY s_suppkey""",
+)
+def join_interval(spark, sf_dir):
+    """A range join with intervals of unequal widths."""
+    start = (F.col("s_suppkey") % 90).cast("double")
+    spans = table(spark, sf_dir, "supplier").select("s_suppkey", start.alias("start"), (start + F.col("s_suppkey") % 7 + 0.5).alias("stop"))
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    found = interval_join(events, spans, "value", "start", "stop")
+    return found.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+_LATERAL = """SELECT c_custkey, t.o_orderkey, t.o_totalprice FROM customer, LATERAL (
+       SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t"""
+
+
+@query("join_lateral", _LATERAL)
+def join_lateral(spark, sf_dir):
+    """The two dearest orders of each customer."""
+    views(spark, sf_dir, "customer", "orders")
+    return spark.sql(_LATERAL)
+
+
+@query(
+    "fn_text_time",
+    """SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month_start, CAST(month(o_orderdate) AS INTEGER) AS month_no, COUNT(*) AS n,
+              COUNT(*) FILTER (o_orderpriority ILIKE '%urg%') AS urgent, AVG(length(o_orderpriority)) AS mean_length
+       FROM orders GROUP BY ALL""",
+)
+def fn_text_time(spark, sf_dir):
+    date = F.col("o_orderdate")
+    months = table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", date).cast("timestamp_ntz").alias("month_start"), F.month(date).alias("month_no"))
+    urgent = F.count_if(F.col("o_orderpriority").ilike("%urg%")).alias("urgent")
+    return months.agg(F.count("*").alias("n"), urgent, F.avg(F.length("o_orderpriority")).alias("mean_length"))
+
+
+@query(
+    "fn_array_map",
+    """SELECT vec_id, len(embedding) AS dims, CAST(list_max(embedding) AS DOUBLE) AS top, list_position(embedding, list_max(embedding))::BIGINT AS top_at,
+              len(list_filter(embedding, lambda x: x > 0)) AS positive, CAST(embedding[2] AS DOUBLE) AS second,
+              list_contains(map_keys(MAP {'a': label, 'b': 1}), 'b') AS has_b, (MAP {'a': label, 'b': 1})['a'] AS a
+       FROM embeddings""",
+)
+def fn_array_map(spark, sf_dir):
+    vector, top = F.col("embedding"), F.array_max("embedding")
+    pairs = F.create_map(F.lit("a"), F.col("label"), F.lit("b"), F.lit(1))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.size(vector).cast("long").alias("dims"),
+        top.cast("double").alias("top"),
+        F.array_position(vector, top).alias("top_at"),
+        F.size(F.filter(vector, lambda x: x > 0)).cast("long").alias("positive"),
+        F.try_element_at(vector, F.lit(2)).cast("double").alias("second"),
+        F.array_contains(F.map_keys(pairs), "b").alias("has_b"),
+        F.element_at(pairs, "a").alias("a"),
+    )
+
+
+@query("tr_json_expand", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def tr_json_expand(spark, sf_dir):
+    """Keys found, replaced by numbers and brought back."""
+    events = table(spark, sf_dir, "events")
+    keys = tr.key_list(events, "props")
+    back = tr.expand_json(tr.compact_json(events, "props", keys, typed=True), "compact", keys)
+    return back.select("event_id", F.get_json_object("json", "$.k").alias("k"))
+
+
+@query(
+    "json_late_types",
+    """SELECT event_id, CASE WHEN event_id % 1000 = 999 THEN event_id + 0.5 ELSE event_id END::DOUBLE AS x,
+              CASE WHEN event_id % 1000 = 998 THEN 'text' ELSE '7' END AS y FROM events""",
+)
+def json_late_types(spark, sf_dir):
+    """Fields whose type a sample of documents need not show."""
+    number = F.expr("IF(event_id % 1000 = 999, event_id + 0.5, event_id)").cast("double")
+    shown = F.when(number == F.floor(number), number.cast("long").cast("string")).otherwise(number.cast("string"))
+    y = F.expr("IF(event_id % 1000 = 998, '\"text\"', '7')")
+    doc = F.concat(F.lit('{"event_id":'), "event_id", F.lit(',"x":'), shown, F.lit(',"y":'), y, F.lit("}"))
+    found = flatten(table(spark, sf_dir, "events").select(doc.alias("value"))).df
+    return found.select("event_id", F.col("x").cast("double").alias("x"), F.col("y").cast("string").alias("y"))
+
+
+@query("job_run", "SELECT 'done' AS state, 1.0::DOUBLE AS progress, COUNT(*) AS n FROM orders")
+def job_run(spark, sf_dir):
+    runner = JobRunner(spark)
+    number = runner.submit(lambda: table(spark, sf_dir, "orders").count(), "count")
+    n = runner.wait(number)
+    status = runner.status(number)
+    return spark.createDataFrame([(status["state"], status["progress"], n)], "state string, progress double, n long")
+
+
+@query(
+    "stream_late_data",
+    """SELECT time_bucket(INTERVAL '1 hour', ts) AS hour_start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2
+       HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT MAX(ts) FROM events) - INTERVAL '2 hours'""",
+)
+def stream_late_data(spark, sf_dir):
+    """A stream with a watermark: it gives the hours that can get no more rows and holds the later ones back."""
+    schema = table(spark, sf_dir, "events").schema
+    path = scratch(spark, "stream")
+    table(spark, sf_dir, "events").coalesce(1).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{path}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = tumbling(stream, "ts", "1 hour", ["event_type"], late="2 hours").agg(F.count("*").alias("n"))
+    closed = counts.select(F.col("window.start").alias("hour_start"), "event_type", "n")
+    stream_to_table(closed, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    found = spark.read.schema(closed.schema).parquet(f"{path}/out")
+    return found.withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
+
+
+@query("cached_archive", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def cached_archive(spark, sf_dir):
+    """Read from a copy that was renewed after the archive grew."""
+    path, suppliers = scratch(spark, "far"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    write_archive(suppliers.where("s_suppkey % 2 = 0"), path)
+    cache = ArchiveCache(spark, scratch(spark, "cache"), ttl=0)
+    cache.fetch(path)
+    append_archive(suppliers.where("s_suppkey % 2 = 1"), path)
+    return read_archive(spark, cache.fetch(path), verify=True)
+
+
+@query("roundtrip_envelope", "SELECT n_nationkey, n_name FROM nation")
+def roundtrip_envelope(spark, sf_dir):
+    """Encrypted with a data key that is kept wrapped; the reader unwraps it."""
+    path, service = scratch(spark, "envelope"), SparkKeyService(spark, generate_key())
+    made = EnvelopeKey.create(service)
+    write_archive(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path, key=made.key())
+    return read_archive(spark, path, key=EnvelopeKey(service, made.wrapped).key())

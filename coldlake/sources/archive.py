@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -329,6 +330,36 @@ def append_archive(
     }
 
 
+def transfer(spark: SparkSession, source: str, target: str, check: bool = True, attempts: int = 3) -> None:
+    """Copy an archive between stores, its manifest last.
+
+    Files of the right size that an interrupted copy left at the target are not copied again. With
+    ``check`` the digests of all files decide; those that differ are copied anew, ``attempts`` times.
+    """
+    files, manifest = Files(spark), read_manifest(spark, source)
+    source, target = source.rstrip("/"), target.rstrip("/")
+    folders = {f.name.rsplit("/", 1)[0] for f in manifest.files}
+    there = {f"{d}/{i.name}": i.length for d in folders for i in files.list(f"{target}/{d}")}
+    todo = [f for f in manifest.files if there.get(f.name) != f.bytes]
+    for left in range(attempts - 1, -1, -1):
+        bad = set()
+        for f in todo:
+            try:
+                files.copy(f"{source}/{f.name}", f"{target}/{f.name}")
+            except Py4JJavaError:
+                if not left:
+                    raise
+                bad.add(f.name)
+        if check:
+            bad |= {r["file"] for r in verify_files(spark, target, manifest) if r["status"] not in ("OK", "NOT_HASHED")}
+        todo = [f for f in manifest.files if f.name in bad]
+        if not todo:
+            break
+    if todo:
+        raise IntegrityError(f"{len(todo)} copied files differ, {todo[0].name} among them")
+    files.write_text(manifest_path(target), manifest.to_json())
+
+
 def verify_files(
     spark: SparkSession, path: str, manifest: Manifest | None = None, only: list[ArchiveFile] | None = None
 ) -> list[dict[str, Any]]:

@@ -39,3 +39,9 @@ def tumbling(df: DataFrame, time: str, width: str, keys: list[str] = (), late: s
 def sessions(df: DataFrame, time: str, gap: str, keys: list[str]):
     """Rows grouped by sessions that a pause of ``gap`` ends."""
     return df.groupBy(F.session_window(time, gap).alias("session"), *keys)
+
+
+def stream_to_table(result: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Write a stream's result rows to Parquet files with exactly-once commits, up to what is there now."""
+    writer = result.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start(path)
