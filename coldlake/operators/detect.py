@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from enum import Enum
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,45 +80,56 @@ def top_tokens(df: DataFrame, column: str, size: int = DICT_SIZE) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(size)
 
 
-def _dated(df: DataFrame, column: str) -> bool:
-    """Whether all non-null values (at least one) are dates or times."""
-    text = F.col(f"`{column}`")
-    date = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-    ok = date & F.try_to_timestamp(text).isNotNull()
-    n, good = df.agg(F.count(text), F.count_if(ok)).first()
-    return n > 0 and n == good
-
-
-def _confirmed(text: DataFrame, fields: list[T.StructField]) -> list[T.DataType]:
-    """The types of the fields in all documents, from the sampled ones."""
-    plain = [f for f in fields if not isinstance(f.dataType, T.StringType)]
-    if not plain:
-        return [f.dataType for f in fields]
-    typed = F.from_json("__doc", T.StructType(plain))
-    raw = F.from_json("__doc", T.StructType([T.StructField(f.name, T.StringType()) for f in plain]))
-    # lost: a value that the sampled type cannot hold; odd: one that is no number either
-    counts = [
-        F.struct(
-            F.count_if(F.col("raw")[f.name].isNotNull() & F.col("typed")[f.name].isNull()),
-            F.count_if(F.col("raw")[f.name].isNotNull() & F.col("raw")[f.name].try_cast("double").isNull()),
-        )
-        for f in plain
-    ]
-    found = text.select(typed.alias("typed"), raw.alias("raw")).agg(*counts).first()
-    wider = {}
-    for f, (lost, odd) in zip(plain, found):
-        if lost:
-            number = isinstance(f.dataType, T.NumericType) and not odd
-            wider[f.name] = T.DoubleType() if number else T.StringType()
-    return [wider.get(f.name, f.dataType) for f in fields]
+def _is_date(text: Column) -> Column:
+    form = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
+    return form & F.try_to_timestamp(text).isNotNull()
+
+
+def _has_tokens(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType)
+
+
+def _evidence(parsed: DataFrame, fields: list[T.StructField]) -> dict[str, tuple[int, int, int]]:
+    """Of each field in all documents, from one aggregation: how many values there are, how many the
+    sampled type cannot hold, and how many are no number (numbers), no date (texts) or not short
+    lists of short texts (lists of texts)."""
+    counts = []
+    for f in fields:
+        raw = F.col("raw")[f.name]
+        typed = F.col("typed")[f.name]
+        if isinstance(f.dataType, T.StringType):
+            odd = ~_is_date(raw)
+        elif _has_tokens(f.dataType):
+            odd = ~((F.size(typed) <= 20) & F.forall(typed, lambda x: F.length(x) <= 50))
+        else:
+            odd = raw.try_cast("double").isNull()
+        counts.append(F.struct(F.count(raw), F.count_if(raw.isNotNull() & typed.isNull()), F.count_if(raw.isNotNull() & F.coalesce(odd, F.lit(True)))))
+    found = parsed.agg(*counts).first() if fields else ()
+    return {f.name: tuple(x) for f, x in zip(fields, found)}
+
+
+def _token_lists(parsed: DataFrame, names: list[str], size: int = DICT_SIZE) -> dict[str, list[str]]:
+    """The most frequent elements of each field, ties in token order, from one aggregation."""
+    if not names:
+        return {}
+
+    def named(c: str) -> Column:
+        return F.transform(F.col("typed")[c], lambda t: F.struct(F.lit(c).alias("name"), t.alias("token")))
+
+    kind = "array<struct<name:string,token:string>>"
+    pairs = F.flatten(F.array(*[F.coalesce(named(c), F.array().cast(kind)) for c in names]))
+    counted = parsed.select(F.explode(pairs).alias("p")).select("p.*").where("token IS NOT NULL").groupBy("name", "token").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "token"))
+    best = counted.withColumn("place", place).where(F.col("place") <= size).collect()
+    return {c: [r["token"] for r in sorted(best, key=lambda r: r["place"]) if r["name"] == c] for c in names}
 
 
 def flatten(documents: DataFrame, column: str = "value", sample_docs: int = SAMPLE_DOCS, coerce_dates: bool = True) -> Detected:
     """Columns from JSON object texts. Fields and their presence come from the first ``sample_docs``
     documents (the feature is a sample); one aggregation over all documents then confirms their types.
 
-    Fields below MIN_PRESENCE are dropped. Scalars keep their type; where a later document holds a value
-    of another type they become doubles if all are numbers, else text. Texts of which every value is a
+    Fields below MIN_PRESENCE are dropped. Scalars keep their type; where any document holds a value of
+    another type they become doubles if all are numbers, else text. Texts of which every value is a
     date become timestamps, arrays and objects become JSON text, absent ones ``null``. Token
     dictionaries count all documents.
     """
@@ -130,27 +141,31 @@ def flatten(documents: DataFrame, column: str = "value", sample_docs: int = SAMP
     counts = {r["name"]: r["n"] for r in field_census(rows, "__doc").collect()}
     inferred = spark.read.json(rows.select("__doc").rdd.map(lambda r: r[0])).schema if n else T.StructType()
     kept = [f for f in inferred.fields if counts.get(f.name, 0) >= MIN_PRESENCE * n]
-    kept = [T.StructField(f.name, t) for f, t in zip(kept, _confirmed(text, kept))]
-    fields = []
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept])
-    parsed = text.select(F.from_json("__doc", schema).alias("d")) if kept else text
-    every = parsed.select("d.*") if kept else text
-    out = []
+    typed = F.from_json("__doc", T.StructType([T.StructField(f.name, f.dataType) for f in kept]))
+    raw = F.from_json("__doc", T.StructType([T.StructField(f.name, T.StringType()) for f in kept]))
+    parsed = text.select(typed.alias("typed"), raw.alias("raw")) if kept else text
+    evidence = _evidence(parsed, kept)
+    listed = [f.name for f in kept if _has_tokens(f.dataType) and not any(evidence[f.name][1:])]
+    tokens_of = _token_lists(parsed, listed)
+    fields, out = [], []
     for f in kept:
-        col, kind = F.col("d")[f.name], field_kind(f.dataType)
-        presence, strategy, tokens, dtype = counts[f.name] / n, "native", [], f.dataType.simpleString()
+        held, lost, odd = evidence[f.name]
+        kind, presence, strategy, dtype = field_kind(f.dataType), counts[f.name] / n, "native", f.dataType
+        plain = F.col("raw")[f.name]
         if kind is not FieldKind.SCALAR:
-            strategy, dtype = "json_str", "string"
-            if kind is FieldKind.ARRAY and isinstance(f.dataType.elementType, T.StringType):
-                values = F.col(f"`{f.name}`")
-                short = (F.size(values) <= 20) & F.forall(values, lambda x: F.length(x) <= 50)
-                if not every.where(values.isNotNull() & ~short).limit(1).count():
-                    strategy, tokens = "json_arr_dict", [r["token"] for r in top_tokens(every, f.name).collect()]
-            col = F.coalesce(F.to_json(col), F.lit("null"))
-        elif coerce_dates and isinstance(f.dataType, T.StringType) and _dated(every, f.name):
-            col, strategy, dtype = F.try_to_timestamp(col).cast("timestamp_ntz"), "timestamp", "timestamp_ntz"
+            strategy, dtype = "json_arr_dict" if f.name in tokens_of else "json_str", T.StringType()
+            col = F.coalesce(plain, F.lit("null"))
+        elif isinstance(dtype, T.StringType):
+            col = plain
+            if coerce_dates and held and not odd:
+                col, strategy, dtype = F.try_to_timestamp(plain).cast("timestamp_ntz"), "timestamp", T.TimestampNTZType()
+        elif lost:
+            dtype = T.DoubleType() if isinstance(dtype, T.NumericType) and not odd else T.StringType()
+            col = plain.try_cast(dtype)
+        else:
+            col = F.col("typed")[f.name]
         out.append(col.alias(f.name))
-        fields.append(FieldInfo(f.name, kind, strategy, presence, presence < 1, dtype, tokens))
+        fields.append(FieldInfo(f.name, kind, strategy, presence, presence < 1, dtype.simpleString(), tokens_of.get(f.name, [])))
     rare = [f for f in inferred.fields if f not in kept]
     fields += [FieldInfo(f.name, field_kind(f.dataType), "json_str_rare", counts.get(f.name, 0) / n, True, "") for f in rare]
     df = parsed.select(*out) if kept else text.select()

@@ -120,3 +120,23 @@ def test_numbered_keys_come_back_with_their_types(spark):
     back = tr.expand_json(tr.compact_json(df, "doc", keys, typed=True), "compact", keys)
     got = [r["json"] and json.loads(r["json"]) for r in back.collect()]
     assert got == [t and json.loads(t) for t in texts]
+
+
+def test_flatten_counts_all_documents(spark):
+    import json
+
+    from coldlake.operators.detect import flatten
+
+    docs = [{"n": 1, "day": "2024-01-01", "tags": ["a", "b"], "o": {"x": 1}} for _ in range(20)]
+    docs += [{"n": 2.5, "day": "soon", "tags": ["c"] * 9, "o": {"y": [None]}}, {"n": "many"}, {"n": None, "tags": "loose"}]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs], "value string").coalesce(1)
+    found = flatten(df, sample_docs=10)
+    kinds = {f.name: (f.strategy, f.tokens) for f in found.fields}
+    assert kinds["day"] == ("native", []) and kinds["o"] == ("json_str", [])
+    assert kinds["tags"][0] == "json_str"  # not a list everywhere
+    rows = found.df.collect()
+    assert [rows[k]["n"] for k in (0, 20, 21, 22)] == ["1", "2.5", "many", None]
+    assert rows[20]["day"] == "soon" and json.loads(rows[20]["o"]) == {"y": [None]} and rows[22]["tags"] == "loose"
+    lists = flatten(df.limit(21), sample_docs=10)
+    assert {f.name: f.tokens for f in lists.fields}["tags"] == ["a", "b", "c"]
+    assert lists.df.schema["n"].dataType.simpleString() == "double" and lists.df.collect()[20]["n"] == 2.5
