@@ -241,7 +241,7 @@ def near_duplicate_groups(
     buckets = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("held")).where("held > 1")
     buckets = materialise(buckets.select("key", "leader"), "buckets")
     edges = keys.join(buckets, "key").where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    parts = materialise(connected_components(edges).withColumnRenamed("component", "part"), "parts")
+    parts = connected_components(edges).withColumnRenamed("component", "part")
 
     wanted = materialise(nodes.join(parts, "node").select("id", "digest", "node", "n", "part"), "wanted")
     n_wanted = wanted.count()

@@ -125,3 +125,36 @@ def test_components(spark, monkeypatch, limit):
     want = {k: 0 for k in range(41)} | {200 + k: 100 for k in range(30)} | {100: 100}
     assert got == want
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_few_edges_take_no_rounds(spark):
+    """A long path, which rounds would halve again and again, costs a few jobs if it is a small table."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "u long, v long").repartition(4)
+    sc = spark.sparkContext
+    sc.setJobGroup("few-edges", "components")
+    try:
+        got = dict(connected_components(edges).collect())
+        assert len(sc.statusTracker().getJobIdsForGroup("few-edges")) <= 10
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict.fromkeys(range(301), 0)
+
+
+@pytest.mark.parametrize("local, broadcast", [(0, 0), (0, 10_000), (100, 10_000), (10_000, 0)])
+def test_components_of_any_size_agree(spark, monkeypatch, local, broadcast):
+    """In rounds, in one task, or in one task once rounds leave few enough edges."""
+    from coldlake.llm import components
+
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+    monkeypatch.setattr(components, "BROADCAST_EDGES", broadcast)
+    draw = random.Random(9)
+    name = [draw.randrange(-(2**62), 2**62) for _ in range(80)]
+    edges = [(name[a], name[draw.randrange(a % 4, 80, 4)]) for a in range(80) for _ in range(3)]
+    want = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    got = connected_components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()
+    assert len(got) == len(want) and dict(got) == want
+    assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
